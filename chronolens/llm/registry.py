@@ -5,11 +5,15 @@ from __future__ import annotations
 from . import (
     op1_shards,
     op5_urls,
+    op6_pieces,
+    op10_quality,
 )
 
 QUERIES = {
     "op1_shards": op1_shards.query,
     "op5_urls": op5_urls.query,
+    "op6_pieces": op6_pieces.query,
+    "op10_quality": op10_quality.query,
 }
 
 ORACLES = {
