@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import (
     op1_shards,
+    op4_languages,
     op5_urls,
     op6_pieces,
     op10_quality,
@@ -11,6 +12,7 @@ from . import (
 
 QUERIES = {
     "op1_shards": op1_shards.query,
+    "op4_languages": op4_languages.query,
     "op5_urls": op5_urls.query,
     "op6_pieces": op6_pieces.query,
     "op10_quality": op10_quality.query,
