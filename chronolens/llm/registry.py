@@ -7,6 +7,7 @@ from . import (
     op4_languages,
     op5_urls,
     op6_pieces,
+    op7_substrings,
     op10_quality,
 )
 
@@ -15,9 +16,11 @@ QUERIES = {
     "op4_languages": op4_languages.query,
     "op5_urls": op5_urls.query,
     "op6_pieces": op6_pieces.query,
+    "op7_substrings": op7_substrings.query,
     "op10_quality": op10_quality.query,
 }
 
 ORACLES = {
     "op5_urls": op5_urls.ORACLE,
+    "op7_substrings": op7_substrings.ORACLE,
 }
