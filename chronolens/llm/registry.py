@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from . import (
     op1_shards,
+    op2_jaccard,
     op4_languages,
     op5_urls,
     op6_pieces,
@@ -13,6 +14,7 @@ from . import (
 
 QUERIES = {
     "op1_shards": op1_shards.query,
+    "op2_jaccard": op2_jaccard.query,
     "op4_languages": op4_languages.query,
     "op5_urls": op5_urls.query,
     "op6_pieces": op6_pieces.query,
@@ -21,6 +23,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_jaccard": op2_jaccard.ORACLE,
     "op5_urls": op5_urls.ORACLE,
     "op7_substrings": op7_substrings.ORACLE,
 }
