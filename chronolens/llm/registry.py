@@ -5,6 +5,7 @@ from __future__ import annotations
 from . import (
     op1_shards,
     op2_jaccard,
+    op3_leaks,
     op4_languages,
     op5_urls,
     op6_pieces,
@@ -15,6 +16,7 @@ from . import (
 QUERIES = {
     "op1_shards": op1_shards.query,
     "op2_jaccard": op2_jaccard.query,
+    "op3_leaks": op3_leaks.query,
     "op4_languages": op4_languages.query,
     "op5_urls": op5_urls.query,
     "op6_pieces": op6_pieces.query,
