@@ -10,6 +10,8 @@ from . import (
     op5_urls,
     op6_pieces,
     op7_substrings,
+    op8_html,
+    op9_warc,
     op10_quality,
 )
 
@@ -21,6 +23,8 @@ QUERIES = {
     "op5_urls": op5_urls.query,
     "op6_pieces": op6_pieces.query,
     "op7_substrings": op7_substrings.query,
+    "op8_html": op8_html.query,
+    "op9_warc": op9_warc.query,
     "op10_quality": op10_quality.query,
 }
 
@@ -28,4 +32,5 @@ ORACLES = {
     "op2_jaccard": op2_jaccard.ORACLE,
     "op5_urls": op5_urls.ORACLE,
     "op7_substrings": op7_substrings.ORACLE,
+    "op9_warc": op9_warc.ORACLE,
 }
