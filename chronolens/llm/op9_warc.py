@@ -63,14 +63,19 @@ def member(data: bytes) -> bytes:
     return c.compress(data) + c.flush()
 
 
-def members(data: bytes) -> Iterator[tuple[int, bytes]]:
-    """(offset, content) of each gzip member."""
-    at = 0
+def members(data: bytes, step: int = 1 << 15) -> Iterator[tuple[int, bytes]]:
+    """(offset, content) of each gzip member; fed in steps, so that what a member
+    leaves over is never copied as a whole."""
+    view, at = memoryview(data), 0
     while at < len(data):
-        d = zlib.decompressobj(31)
-        out = d.decompress(memoryview(data)[at:])
-        yield at, out
-        at = len(data) - len(d.unused_data)
+        d, out, to = zlib.decompressobj(31), [], at
+        while not d.eof:
+            if to >= len(data):
+                raise ValueError("gzip member cut short")
+            out.append(d.decompress(view[to : to + step]))
+            to = min(len(data), to + step)
+        yield at, b"".join(out)
+        at = to - len(d.unused_data)
 
 
 # -- ARC ---------------------------------------------------------------------
@@ -278,6 +283,7 @@ ARC_ROWS = T.StructType(
         T.StructField("http", T.BinaryType()),
         T.StructField("payload", T.BinaryType()),
         T.StructField("digest", T.StringType()),
+        T.StructField("size", T.LongType()),
     ]
 )
 
@@ -296,8 +302,10 @@ def _batches(rows: Iterator[tuple], types: list[pa.DataType], names: list[str],
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names=names)
 
 
-def read_arc(manifest: DataFrame, folder: str) -> DataFrame:
-    """Captures of the manifest's chunks, with WARC identifiers and dates."""
+def read_arc(manifest: DataFrame, folder: str, blocks: bool = True) -> DataFrame:
+    """Captures of the manifest's chunks, with WARC identifiers and dates, and
+    ``size``, the payload's bytes.  Without ``blocks``, http and payload are null.
+    """
 
     def rows(batches):
         for chunk, data in _chunks(folder, batches):
@@ -317,23 +325,26 @@ def read_arc(manifest: DataFrame, folder: str) -> DataFrame:
                         warc_date(date),
                         head["Content-type"],
                         record_id(name, chunk["begin"] + offset, head["URL"], date),
-                        http,
-                        payload,
+                        http if blocks else None,
+                        payload if blocks else None,
                         sha1_base32(payload),
+                        len(payload),
                     )
 
-    types = [pa.int64(), *[pa.string()] * 5, pa.binary(), pa.binary(), pa.string()]
-    return _spread(manifest).mapInArrow(lambda b: _batches(rows(b), types, ARC_ROWS.names, weigh=lambda r: 500 + len(r[7])), ARC_ROWS)
+    types = [pa.int64(), *[pa.string()] * 5, pa.binary(), pa.binary(), pa.string(), pa.int64()]
+    return _spread(manifest).mapInArrow(lambda b: _batches(rows(b), types, ARC_ROWS.names, weigh=lambda r: 500 + len(r[7] or b"")), ARC_ROWS)
 
 
-def mark_revisits(captures: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
+def mark_revisits(captures: DataFrame, index: DataFrame | None = None, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     """``captures`` with ``refers_to_id``: the response that a revisit repeats.
 
+    ``index`` has the captures without their blocks, if those can be read apart.
     Only digests that two captures or more share are joined back.
     """
-    long = F.octet_length("payload") >= revisit_bytes
+    long = F.col("size") >= revisit_bytes
     best = (
-        captures.where(long)
+        (captures if index is None else index)
+        .where(long)
         .groupBy("digest")
         .agg(F.max(F.struct("key", "record_id")).alias("best"), F.count("*").alias("n"))
         .where("n > 1")
@@ -394,8 +405,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     pages = pages.select(F.col("page_id").cast("long").alias("key"), "url", F.col("html").alias("payload"))
     old, new = new_path(spark, "arc"), new_path(spark, "warc")
-    captures = read_arc(write_arc(pages, old), old)
-    records = read_warc(write_warc(mark_revisits(captures), new), new)
+    archive = write_arc(pages, old)
+    marked = mark_revisits(read_arc(archive, old), read_arc(archive, old, blocks=False))
+    records = read_warc(write_warc(marked, new), new)
     records = stage(records.select("key", "record_id", "type", "payload_bytes", "payload_digest", "refers_to_id"), "records")
     named = records.where("type <> 'revisit'").select(F.col("record_id").alias("_id"), F.col("key").alias("refers_to"))
     revisits = records.where("type = 'revisit'").join(named, F.col("refers_to_id") == F.col("_id"), "left").drop("_id")
