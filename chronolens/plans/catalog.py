@@ -697,11 +697,11 @@ def dedupe_kernels(spark, d):
     return ranking.distinct_kernels(dim(spark), 10).select("feature_index", "representation", "kernel_index", "dilation")
 
 
-SAL = "sal AS (SELECT CAST(t AS INT) AS t, abs(v) AS value FROM (SELECT unnest(range(0, 64)) AS t, unnest(CAST(embedding AS DOUBLE[])) AS v FROM embeddings WHERE vec_id = 0))"
+SAL = "sal AS (SELECT CAST(t AS INT) AS t, round(avg(abs(v)), 9) AS value FROM (SELECT unnest(range(0, 64)) AS t, unnest(CAST(embedding AS DOUBLE[])) AS v FROM embeddings) GROUP BY 1)"
 
 
 def _sal(spark, d):
-    return emb(spark, d).where("id = 0").select(F.posexplode("x").alias("t", "v")).select("t", F.abs("v").alias("value"))
+    return emb(spark, d).select(F.posexplode("x").alias("t", "v")).groupBy("t").agg(F.round(F.avg(F.abs("v")), 9).alias("value"))
 
 
 @query(f"WITH {SAL}, r AS (SELECT t, row_number() OVER (ORDER BY value DESC, t) AS r FROM sal), f AS (SELECT unnest([0.05, 0.1, 0.25, 0.5]::DOUBLE[]) AS fraction) SELECT fraction, t FROM r, f WHERE r <= greatest(1, floor(fraction * 64 + 1e-9))")
@@ -760,11 +760,11 @@ def elbow(spark, d):
     return ranking.elbow(_curve(spark, d).select("k", (F.row_number().over(w) - 1).alias("i"), "v"), "k")
 
 
-DROPS = "dr AS (SELECT 'e' || (vec_id % 4) AS name, CASE vec_id // 4 % 2 WHEN 0 THEN 'zero' ELSE 'mean' END AS perturbation, (1 + vec_id // 8) * 0.05::DOUBLE AS fraction, abs(CAST(embedding[1] AS DOUBLE)) AS drop_ FROM embeddings WHERE vec_id < 80)"
+DROPS = "dr AS (SELECT 'e' || (vec_id % 4) AS name, CASE vec_id // 4 % 2 WHEN 0 THEN 'zero' ELSE 'mean' END AS perturbation, (1 + vec_id // 8) * 0.05::DOUBLE AS fraction, abs(CAST(embedding[1] AS DOUBLE)) AS drop_ FROM embeddings)"
 
 
 def _drops(spark, d):
-    t = emb(spark, d).where("id < 80")
+    t = emb(spark, d)
     p = F.when((F.floor(F.col("id") / 4) % 2) == 0, "zero").otherwise("mean")
     return t.select(F.concat(F.lit("e"), (F.col("id") % 4).cast("string")).alias("name"), p.alias("perturbation"), ((1 + F.floor(F.col("id") / 8)) * 0.05).alias("fraction"), F.abs(F.col("x")[0]).alias("drop"))
 
@@ -807,34 +807,33 @@ def perturb_inverse(spark, d):
     return _perturbed(spark, d, "inverse")
 
 
-@query("SELECT vec_id AS id, CAST(pos AS INT) AS pos, CAST(pos + 2 AS INT) AS last FROM embeddings, (SELECT unnest(range(0, 62, 1)) AS pos) WHERE vec_id < 20")
+@query("SELECT vec_id AS id, CAST(pos AS INT) AS pos, CAST(pos + 2 AS INT) AS last FROM embeddings, (SELECT unnest(range(0, 62, 1)) AS pos)")
 def occlusion_windows(spark, d):
     w, s = occlusion.window_defaults(L)
-    return occlusion.windows(emb(spark, d).where("id < 20").select("id"), L, w, s).select("id", "pos", (F.col("pos") + w - 1).cast("int").alias("last"))
+    return occlusion.windows(emb(spark, d).select("id"), L, w, s).select("id", "pos", (F.col("pos") + w - 1).cast("int").alias("last"))
 
 
-@query("""WITH w AS (SELECT vec_id AS id, pos, abs(CAST(embedding[pos + 1] AS DOUBLE)) AS impact FROM embeddings, (SELECT unnest(range(0, 58, 4)) AS pos) WHERE vec_id < 20)
+@query("""WITH w AS (SELECT vec_id AS id, pos, abs(CAST(embedding[pos + 1] AS DOUBLE)) AS impact FROM embeddings, (SELECT unnest(range(0, 58, 4)) AS pos))
 SELECT g.id, CAST(g.t AS INT) AS t, round(coalesce(avg(impact), 0), 6) AS sensitivity FROM (SELECT DISTINCT id, t FROM w, (SELECT unnest(range(0, 64)) AS t)) g LEFT JOIN w ON w.id = g.id AND g.t >= pos AND g.t < pos + 6 GROUP BY 1, 2""")
 def occlusion_average(spark, d):
-    w = occlusion.windows(emb(spark, d).where("id < 20"), L, 6, 4).select("id", "pos", F.abs(F.get("x", "pos")).alias("impact"))
+    w = occlusion.windows(emb(spark, d), L, 6, 4).select("id", "pos", F.abs(F.get("x", "pos")).alias("impact"))
     return occlusion.spread_over_time(w, L, 6, "id").select("id", "t", r6("sensitivity", "sensitivity"))
 
 
-NULLS = "nul AS (SELECT CAST(vec_id % 20 AS INT) AS permutation, CAST(i AS INT) AS feature_index, abs(CAST(embedding[i + 1] AS DOUBLE)) AS importance FROM embeddings, (SELECT unnest(range(0, 64)) AS i) WHERE vec_id < 200), obs AS (SELECT CAST(unnest(range(0, 64)) AS INT) AS feature_index, unnest(list_transform(CAST(embedding AS DOUBLE[]), lambda v: abs(v) * 2)) AS importance FROM embeddings WHERE vec_id = 201)"
+NULLS = "nul AS (SELECT vec_id AS permutation, CAST(i AS INT) AS feature_index, abs(CAST(embedding[i + 1] AS DOUBLE)) AS importance FROM embeddings, (SELECT unnest(range(0, 64)) AS i)), obs AS (SELECT feature_index, max(importance) * (0.5 + (feature_index % 5) * 0.1::DOUBLE) AS importance FROM nul GROUP BY 1)"
 
 
 @query(f"WITH {NULLS} SELECT feature_index, round(avg(CASE WHEN nul.importance >= obs.importance THEN 1.0 ELSE 0 END), 6) AS p_value, round(quantile_cont(nul.importance, 0.95), 6) AS null_p95, avg(CASE WHEN nul.importance >= obs.importance THEN 1.0 ELSE 0 END) < 0.05 AS significant FROM obs JOIN nul USING (feature_index) GROUP BY 1")
 def pimp_pvalues(spark, d):
-    e = emb(spark, d)
-    null = e.where("id < 200").select((F.col("id") % 20).cast("int").alias("permutation"), F.posexplode("x").alias("feature_index", "v")).select("permutation", "feature_index", F.abs("v").alias("importance"))
-    obs = e.where("id = 201").select(F.posexplode("x").alias("feature_index", "v")).select("feature_index", (F.abs("v") * 2).alias("importance"))
+    null = emb(spark, d).select(F.col("id").alias("permutation"), F.posexplode("x").alias("feature_index", "v")).select("permutation", "feature_index", F.abs("v").alias("importance"))
+    obs = null.groupBy("feature_index").agg((F.max("importance") * (0.5 + (F.col("feature_index") % 5) * 0.1)).alias("importance"))
     return selection.permutation_p(obs, null).select("feature_index", r6("p_value", "p_value"), r6("null_p95", "null_p95"), "significant")
 
 
-@query("""WITH g AS (SELECT 'K' || vec_id AS "group", abs(CAST(embedding[1] AS DOUBLE)) AS s, abs(CAST(embedding[2] AS DOUBLE)) AS r, 1.0::DOUBLE AS a FROM embeddings WHERE vec_id < 84)
+@query("""WITH g AS (SELECT 'K' || vec_id AS "group", abs(CAST(embedding[1] AS DOUBLE)) AS s, abs(CAST(embedding[2] AS DOUBLE)) AS r, 1.0::DOUBLE AS a FROM embeddings)
 SELECT "group", round(a - r, 6) AS contribution, round(a - r - s, 6) + 0.0 AS p, CASE WHEN a - r - s < -0.1 THEN 'redundant' WHEN a - r - s > 0.1 THEN 'synergistic' ELSE 'independent' END AS kind FROM g""")
 def information_classes(spark, d):
-    g = emb(spark, d).where("id < 84").select(F.format_string("K%d", "id").alias("group"), F.abs(F.col("x")[0]).alias("i_single"), F.abs(F.col("x")[1]).alias("i_rest"), F.lit(1.0).alias("i_all"))
+    g = emb(spark, d).select(F.format_string("K%d", "id").alias("group"), F.abs(F.col("x")[0]).alias("i_single"), F.abs(F.col("x")[1]).alias("i_rest"), F.lit(1.0).alias("i_all"))
     return selection.classify_information(g, 0.1).select("group", r6("contribution", "contribution"), r6("p", "p"), "kind")
 
 

@@ -202,6 +202,7 @@ def test_two_classes_and_strings(spark):
 def test_mask_is_zeroing(spark, fitted, test_bumps):
     mask = list(range(0, 2688, 37))
     f, _ = model.gather(test_bumps.where("id < 5"), fitted.bank)
+    f = f.copy()
     f[:, np.setdiff1d(np.arange(2688), mask)] = 0
     want = fitted.ridge.scores(f)
     got = [r.scores for r in model.decision(test_bumps.where("id < 5"), fitted, mask).orderBy("id").collect()]
