@@ -7,42 +7,71 @@ rows through to the exact step that follows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 BITS = 26
+#: Parts of a table: places travel in packed rows, one for each task and part.
+PARTS = 64
 
 
 def places(h: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Bit of each hash (int64 or uint64, already well mixed)."""
-    return (h.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+    return (np.ascontiguousarray(h).view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def column(i: int = 0) -> Callable[[pa.RecordBatch], np.ndarray]:
+    return lambda batch: batch.column(i).to_numpy(zero_copy_only=False)
+
 
+def build(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray] = column(), bits: int = BITS) -> np.ndarray:
+    """The table of the hashes that ``hashes`` finds in each batch of ``df``."""
+    size = 1 << bits
+    each = size // PARTS
 
-def table(df: DataFrame, column: Column, bits: int = BITS) -> np.ndarray:
-    """Bit table of a long column: one bool for each of 2**bits places."""
-    at = F.shiftrightunsigned(column, 64 - bits)
-    words = (
-        df.select(at.alias("b"))
-        .groupBy(F.shiftright("b", 5).cast("int").alias("w"))
-        .agg(F.expr("bit_or(shiftleft(1, cast(b % 32 AS int)))").alias("v"))
-    )
-    # many words in one row each: few rows come to the driver, 2**bits / 8 bytes at most
+    def find(batches):
+        held, n = [], 0
+
+        def flush():
+            p = np.unique(np.concatenate(held))
+            cuts = np.searchsorted(p, np.arange(PARTS + 1) * each)
+            full = np.flatnonzero(np.diff(cuts))
+            blobs = [(p[cuts[k] : cuts[k + 1]] - k * each).astype(np.int32).tobytes() for k in full]
+            return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(blobs, pa.binary())], names=["k", "p"])
+
+        for batch in batches:
+            h = hashes(batch)
+            if len(h):
+                held.append(places(h, bits))
+                n += len(h)
+                if n > 2_000_000:
+                    yield flush()
+                    held, n = [], 0
+        if held:
+            yield flush()
 
-    def pack(batches):
+    def join(batches):
+        parts: dict[int, np.ndarray] = {}
         for batch in batches:
-            w = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int32)
-            v = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()]), pa.array([v.tobytes()])], names=["w", "v"])
+            for k, p in zip(*[c.to_pylist() for c in batch.columns]):
+                t = parts.get(k)
+                if t is None:
+                    t = parts[k] = np.zeros(each, np.uint8)
+                t[np.frombuffer(p, np.int32)] = 1
+        for k, t in parts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(t, bitorder="little").tobytes()])], names=["k", "p"])
 
-    out = np.zeros(1 << (bits - 5), np.uint32)
-    for r in words.mapInArrow(pack, "w binary, v binary").toLocalIterator():
-        out[np.frombuffer(r["w"], np.int32)] = np.frombuffer(r["v"], np.int32).view(np.uint32)
+    schema = "k int, p binary"
+    out = np.zeros(size // 8, np.uint8)
+    for r in df.mapInArrow(find, schema).repartition(PARTS, "k").mapInArrow(join, schema).collect():  # size / 8 bytes in all
+        out[r["k"] * each // 8 : (r["k"] + 1) * each // 8] = np.frombuffer(r["p"], np.uint8)
     return out
 
 
-def hit(words: np.ndarray, h: np.ndarray, bits: int = BITS) -> np.ndarray:
+def hit(table: np.ndarray, h: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Which hashes may be in the set."""
     at = places(h, bits)
-    return ((words[at >> 5] >> (at & 31).astype(np.uint32)) & np.uint32(1)).astype(bool)
+    return ((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)

@@ -142,13 +142,13 @@ def ranks(described: DataFrame, place: str, counts: str) -> np.ndarray:
 
     parts = described.where(F.col(place).isNotNull()).select(place, counts)
     out = np.zeros(1 << COUNT_BITS, np.uint8)
-    for r in parts.repartition(F.col(place)).mapInArrow(add, "k int, r binary").toLocalIterator():  # fixed size
+    for r in parts.repartition(F.col(place)).mapInArrow(add, "k int, r binary").collect():  # fixed size
         out[r["k"] : r["k"] + (1 << PIECE_BITS)] = np.frombuffer(r["r"], np.uint8)
     return out
 
 
 _TILE = np.dtype([("tile", "<u4"), ("node", "<i8"), ("n", "<u4"), ("q", "u1")])
-_KEY = np.dtype([("key", "<u4"), ("node", "<i8"), ("n", "<u4"), ("q", "u1")])
+_KEY = np.dtype([("key", "<u4"), ("more", "u1"), ("node", "<i8"), ("n", "<u4"), ("q", "u1")])
 
 
 def keys(df: DataFrame, text: str, seed: int, rank: np.ndarray, ranges: int) -> DataFrame:
@@ -159,11 +159,11 @@ def keys(df: DataFrame, text: str, seed: int, rank: np.ndarray, ranges: int) ->
         table = sent.value
         seen: set[int] = set()
         held: list[np.ndarray] = []
+        goes: list[np.ndarray] = []
         size = 0
 
         def flush():
-            x = np.concatenate(held)
-            to = x["key"] % np.uint32(ranges)
+            x, to = np.concatenate(held), np.concatenate(goes)
             order = np.argsort(to, kind="stable")
             x, to = x[order], to[order]
             cuts = np.searchsorted(to, np.arange(ranges + 1))
@@ -186,14 +186,17 @@ def keys(df: DataFrame, text: str, seed: int, rank: np.ndarray, ranges: int) ->
                     r = table[(s >> _U(64 - COUNT_BITS)).astype(np.int64)]
                     order = np.argsort(r, kind="stable")[:p]  # by (rank, hash): s is sorted
                     x = np.empty(p, _KEY)
-                    x["key"] = (mix(s[order]) >> _U(32)).astype(np.uint32)
+                    h = mix(s[order])  # 40 bits tell shingles of a range apart, 24 others choose the range
+                    x["key"] = (h >> _U(32)).astype(np.uint32)
+                    x["more"] = (h >> _U(24)).astype(np.uint8)
+                    goes.append(((h & _U(0xFFFFFF)) % _U(ranges)).astype(np.int32))
                     x["node"], x["n"] = c, n
                     x["q"] = np.arange(p) * 255 // n
                     held.append(x)
                     size += p
                 if size > 4_000_000:
                     yield flush()
-                    held, size = [], 0
+                    held, goes, size = [], [], 0
         if held:
             yield flush()
 
@@ -221,11 +224,13 @@ def tiles(dealt: DataFrame) -> DataFrame:
 
     def work(k, blobs):
         x = np.concatenate([np.frombuffer(b, _KEY) for b in blobs])
-        x = x[np.lexsort((x["node"], x["key"]))]
+        key = x["key"].astype(np.int64) << 8 | x["more"]
+        order = np.lexsort((x["node"], key))
+        x, key = x[order], key[order]
         new = np.ones(len(x), bool)
-        new[1:] = (x["key"][1:] != x["key"][:-1]) | (x["node"][1:] != x["node"][:-1])
-        x = x[new]
-        begin = np.flatnonzero(np.concatenate([[True], x["key"][1:] != x["key"][:-1]]))
+        new[1:] = (key[1:] != key[:-1]) | (x["node"][1:] != x["node"][:-1])
+        x, key = x[new], key[new]
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         count = np.diff(np.append(begin, len(x)))
         pairs = []
         two = begin[count == 2]
@@ -264,28 +269,105 @@ def tiles(dealt: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "k int, pairs binary, tiles binary")
 
 
-def distinct_pairs(found: DataFrame, ranges: int) -> DataFrame:
-    """(a, b) of the tiles' pairs, each once; dealt out in packed form."""
+def _deal(k: np.ndarray, rows: np.ndarray, ranges: int, kind: int) -> pa.RecordBatch:
+    """Rows of an int64 table packed by range: (k, kind, rows)."""
+    order = np.argsort(k, kind="stable")
+    rows = rows[order]
+    cuts = np.searchsorted(k[order], np.arange(ranges + 1))
+    full = np.flatnonzero(np.diff(cuts))
+    blobs = [rows[cuts[i] : cuts[i + 1]].tobytes() for i in full]
+    return pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(np.full(len(full), kind, np.int32)), pa.array(blobs, pa.binary())], names=["k", "kind", "rows"])
+
+
+_DEALT = "k int, kind int, rows binary"
+
+
+def _range(node: np.ndarray, ranges: int) -> np.ndarray:
+    return (mix(np.ascontiguousarray(node).view(np.uint64)) % _U(ranges)).astype(np.int64)
+
+
+def _table(blobs: list[bytes], width: int) -> np.ndarray:
+    return np.concatenate([np.frombuffer(b, np.int64).reshape(-1, width) for b in blobs]) if blobs else np.zeros((0, width), np.int64)
+
+
+def _by_range(dealt: DataFrame, ranges: int, work, schema: str) -> DataFrame:
+    """``work(rows of kind 0, rows of kind 1)`` for each range; packed rows in."""
+
+    def run(batches):
+        now, held = None, ([], [])
+        for batch in batches:
+            for k, kind, rows in zip(*[c.to_pylist() for c in batch.columns]):
+                if k != now:
+                    if now is not None:
+                        yield from work(*held)
+                    now, held = k, ([], [])
+                held[kind].append(rows)
+        if now is not None:
+            yield from work(*held)
+
+    return dealt.repartition(ranges, "k").sortWithinPartitions("k").mapInArrow(run, schema)
+
+
+def least_hubs(found: DataFrame, ranges: int) -> DataFrame:
+    """(a, b): of each class b the least hub a among its tiles."""
+
+    def least(p):
+        p = p[np.lexsort((p[:, 0], p[:, 1]))]
+        return p[np.concatenate([[True], p[1:, 1] != p[:-1, 1]])] if len(p) else p
 
     def deal(batches):
         for batch in batches:
             for blob in batch.column(0).to_pylist():
-                p = np.frombuffer(blob, np.int64).reshape(-1, 2)
-                to = (mix(p[:, 0].view(np.uint64) ^ mix(np.ascontiguousarray(p[:, 1]).view(np.uint64))) % _U(ranges)).astype(np.int64)
-                order = np.argsort(to, kind="stable")
-                cuts = np.searchsorted(to[order], np.arange(ranges + 1))
-                full = np.flatnonzero(np.diff(cuts))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(full.astype(np.int32)), pa.array([p[order[cuts[k] : cuts[k + 1]]].tobytes() for k in full], pa.binary())], names=["k", "p"]
-                )
-
-    def once(batches):
-        held = [np.frombuffer(b, np.int64).reshape(-1, 2) for batch in batches for b in batch.column(1).to_pylist()]
-        if held:
-            p = np.unique(np.concatenate(held), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], names=["a", "b"])
+                p = least(_table([blob], 2))
+                if len(p):
+                    yield _deal(_range(p[:, 1], ranges), p, ranges, 1)
+
+    def once(_, blobs):
+        p = least(_table(blobs, 2))
+        yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], names=["a", "b"])
+
+    return _by_range(found.select("pairs").mapInArrow(deal, _DEALT), ranges, once, "a long, b long")
+
+
+def pairs_apart(found: DataFrame, labels: DataFrame, ranges: int) -> DataFrame:
+    """(a, b): the tiles' pairs whose classes have different labels.
+
+    A join of pairs with labels on either side, on packed rows.
+    """
+
+    def pack(batches):
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)
+            if len(x):
+                yield _deal(_range(x[:, 0], ranges), x, ranges, 0)
+
+    def deal(batches):
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                p = _table([blob], 2)
+                if len(p):
+                    yield _deal(_range(p[:, 0], ranges), p, ranges, 1)
+
+    def look_up(known, nodes):
+        known = known[np.argsort(known[:, 0], kind="stable")]
+        at = np.minimum(np.searchsorted(known[:, 0], nodes), max(0, len(known) - 1))
+        return np.where(known[at, 0] == nodes, known[at, 1], nodes) if len(known) else nodes
 
-    return found.select("pairs").mapInArrow(deal, "k int, p binary").repartition(ranges, "k").mapInArrow(once, "a long, b long")
+    def first(known, pairs):
+        p = np.unique(_table(pairs, 2), axis=0)
+        if len(p):
+            p = np.column_stack([p, look_up(_table(known, 2), p[:, 0])])
+            yield _deal(_range(p[:, 1], ranges), p, ranges, 1)
+
+    def second(known, pairs):
+        p = _table(pairs, 3)
+        p = p[look_up(_table(known, 2), p[:, 1]) != p[:, 2]]
+        p = np.unique(p[:, :2], axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], names=["a", "b"])
+
+    known = labels.select("node", "label").mapInArrow(pack, _DEALT)
+    half = _by_range(found.select("pairs").mapInArrow(deal, _DEALT).union(known), ranges, first, _DEALT)
+    return _by_range(half.union(known), ranges, second, "a long, b long")
 
 
 def class_arrays(df: DataFrame, text: str, seed: int, wanted: np.ndarray) -> DataFrame:
@@ -336,7 +418,19 @@ def verify(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     unequal = F.aggregate(F.zip_with("siga", "sigb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     near = near.where((4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")) & (F.col("na") + F.col("nb") >= DEN * unequal))
     near = stage(near.select("a", "b"), "near")
-    full = near.join(side("b", "arr"), "b").join(side("a", "arr"), "a").select("a", "b", "arra", "arrb")
+
+    def blocks(c: str) -> DataFrame:
+        """Arrays of the classes on one side of the pairs: others stay unmoved."""
+        bits = arrays.sparkSession.sparkContext.broadcast(_bits.build(near.select(c)))  # 2**BITS / 8 bytes
+
+        def keep(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(_bits.hit(bits.value, batch.column(0).to_numpy(zero_copy_only=False))))
+
+        some = arrays.select("node", "arr").mapInArrow(keep, "node long, arr binary")
+        return some.groupBy("node").agg(F.first("arr").alias("arr" + c)).withColumnRenamed("node", c)
+
+    full = near.join(blocks("b"), "b").join(blocks("a"), "a").select("a", "b", "arra", "arrb")
 
     def exact(batches):
         for batch in batches:
@@ -361,22 +455,14 @@ def pair_hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return mix(np.ascontiguousarray(a).view(np.uint64) ^ mix(np.ascontiguousarray(b).view(np.uint64))).view(np.int64)
 
 
-def open_pairs(found: DataFrame, tested: DataFrame, labels: DataFrame) -> DataFrame:
+def open_pairs(found: DataFrame, apart: DataFrame, labels: DataFrame, arrays: DataFrame) -> DataFrame:
     """Pairs of unsettled tiles that lie in different components.
 
     A tile is unsettled if its hub and some member lie apart after the first
-    step.  Only those tiles' members are listed one by one.
+    steps (``apart`` has such pairs).  Only those tiles' members are listed one
+    by one.
     """
-    l1 = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
-    l2 = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-    apart = tested.join(l1, "a", "left").join(l2, "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b"))
-
-    def hashed(batches):
-        for batch in batches:
-            a, b = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            yield pa.RecordBatch.from_arrays([pa.array(pair_hash(a, b))], names=["h"])
-
-    bits = _bits.table(apart.select("a", "b").mapInArrow(hashed, "h long"), F.col("h"))
+    bits = _bits.build(apart.select("a", "b"), lambda x: pair_hash(*[c.to_numpy(zero_copy_only=False) for c in x.columns]))
     sent = found.sparkSession.sparkContext.broadcast(bits)  # 2**BITS / 8 bytes
 
     def members(batches):
@@ -399,17 +485,78 @@ def open_pairs(found: DataFrame, tested: DataFrame, labels: DataFrame) -> DataFr
 
     rows = found.select("k", "tiles").mapInArrow(members, "k int, t long, node long, n long, p long")
     rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    rows = stage(rows, "members")
-    x = rows.select("k", "t", *[F.col(c).alias(c + "1") for c in ("node", "n", "p", "label")])
-    y = rows.select("k", "t", *[F.col(c).alias(c + "2") for c in ("node", "n", "p", "label")])
-    n = F.col("n1") + F.col("n2")
-    met = x.join(y, ["k", "t"]).where(
-        (F.col("node1") < F.col("node2"))
-        & (F.col("label1") != F.col("label2"))
-        & (4 * F.least("n1", "n2") >= 3 * F.greatest("n1", "n2"))
-        & (DEN * F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2")) >= NUM * n)
-    )
-    return met.select(F.col("node1").alias("a"), F.col("node2").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+    rows = stage(rows.join(arrays.select("node", "sig").dropDuplicates(["node"]), "node"), "members")
+    # a large tile is cut into blocks; each pair of blocks is a tile of its own
+    counts = rows.groupBy("k", "t").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("g"), F.count_distinct("label").alias("l"))
+    cut = rows.join(counts.where("l > 1"), ["k", "t"]).withColumn("i", F.pmod(F.xxhash64("node"), "g").cast("int"))
+    cut = cut.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    cut = cut.select("k", "t", F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v"), F.col("i").alias("w"), "node", "n", "p", "label", "sig")
+    dealt = cut.repartition("k", "t", "u", "v").sortWithinPartitions("k", "t", "u", "v")
+    return dealt.mapInArrow(_compare_tiles, "a long, b long").distinct().join(apart, ["a", "b"], "left_anti")
+
+
+#: Classes of a tile, or of a block of a large one.
+TILE_ROWS = 1024
+
+
+def _compare_tiles(batches):
+    """Pairs of each tile that sizes, positions and bit counts allow to link.
+
+    Two blocks meet as rows of one tile with different ``w``; classes of one
+    block meet where u = v.
+    """
+
+    def compare(x):
+        w, node, n, p, label, sig = x
+        order = np.argsort(n, kind="stable")
+        w, node, n, p, label, sig = w[order], node[order], n[order], p[order], label[order], sig[order]
+        mixed = w[0] != w[-1] or (w != w[0]).any()
+        out = []
+        for i in range(len(n)):
+            to = np.searchsorted(n, 4 * n[i] // 3, "right")  # sizes that allow a link
+            j = np.arange(i + 1, to)
+            if not len(j):
+                continue
+            ok = label[j] != label[i]
+            if mixed:
+                ok &= w[j] != w[i]
+            total = n[j] + n[i]
+            ok &= DEN * np.minimum(n[j] - p[j], n[i] - p[i]) >= NUM * total
+            j = j[ok]
+            if len(j):
+                unequal = np.bitwise_count(sig[j] ^ sig[i]).sum(1, dtype=np.int64)
+                j = j[n[j] + n[i] >= DEN * unequal]
+                if len(j):
+                    out.append(np.stack([np.full(len(j), node[i]), node[j]], 1))
+        if out:
+            e = np.concatenate(out)
+            e.sort(axis=1)
+            e = np.unique(e, axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(e[:, 0].copy()), pa.array(e[:, 1].copy())], names=["a", "b"])
+
+    held: list = []
+    now = None
+
+    def flush():
+        if held:
+            yield from compare([np.concatenate(c) for c in zip(*held)])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        c = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+        key = np.stack([c[x].to_numpy(zero_copy_only=False).astype(np.int64) for x in ("k", "t", "u", "v")], 1)
+        sig = c["sig"].flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(batch.num_rows, -1)  # bits, not signs
+        data = [c[x].to_numpy(zero_copy_only=False).astype(np.int64) for x in ("w", "node", "n", "p", "label")]
+        begin = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
+        for a, z in zip(begin, [*begin[1:], len(key)]):
+            k = tuple(key[a].tolist())
+            if k != now:
+                yield from flush()
+                held.clear()
+                now = k
+            held.append([*[d[a:z] for d in data], sig[a:z]])
+    yield from flush()
 
 
 def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -434,21 +581,24 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     rank = ranks(described, place, counts)
     dealt = keys(df, text, seed, rank, ranges).repartition(ranges, "k").sortWithinPartitions("k")
     found = stage(tiles(dealt), "tiles")
-    first = stage(distinct_pairs(found, ranges), "pairs")
 
-    def nodes(batches):
-        for batch in batches:
-            for pairs, blob in zip(*[c.to_pylist() for c in batch.columns]):
-                x = np.unique(np.concatenate([np.frombuffer(pairs, np.int64), np.frombuffer(blob, _TILE)["node"]]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(_bits.places(x)).view(np.int64) << (64 - _bits.BITS))], names=["h"])
+    def nodes(batch):
+        x = [np.frombuffer(p, np.int64) for p in batch.column(0).to_pylist()]
+        return np.concatenate([*x, *[np.frombuffer(t, _TILE)["node"] for t in batch.column(1).to_pylist()]])
 
-    wanted = _bits.table(found.select("pairs", "tiles").mapInArrow(nodes, "h long"), F.col("h"))
-    arrays = class_arrays(df, text, seed, wanted)
-    links = verify(first, arrays)
+    arrays = class_arrays(df, text, seed, _bits.build(found.select("pairs", "tiles"), nodes))
+    # each class with its least hub; then what those links leave apart
+    links = verify(stage(least_hubs(found, ranges), "pairs"), arrays)
     labels = stage(components(links), "labels")
-    more = verify(stage(open_pairs(found, first, labels), "pairs"), arrays)
-    if not more.isEmpty():
-        labels = components(links.union(more))
+    second = stage(pairs_apart(found, labels, ranges), "pairs")
+    apart = second
+    if not second.isEmpty():
+        links = links.union(verify(second, arrays))
+        labels = stage(components(links), "labels")
+        apart = stage(pairs_apart(found, labels, ranges), "pairs")
+    third = stage(open_pairs(found, apart, labels, arrays), "pairs")
+    if not third.isEmpty():
+        labels = components(links.union(verify(third, arrays)))
 
     # label of each class, and the least id of each component
     labels = labels.select(F.col("node").alias("_node"), F.col("label").alias("_label"))
@@ -461,6 +611,33 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     return joined.select(*kept, F.col(size).alias("n_shingles"), component.cast("long").alias("component_id"))
 
 
+def drop_ids(df: DataFrame, gone: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """``df`` without the rows whose id is in ``gone`` (one column of ids).
+
+    A bit table lets rows that surely stay pass by; only the others, with their
+    texts, are shuffled to the exact anti-join.  Rows without an id stay.
+    """
+    name = gone.columns[0]
+
+    def hashes(ids: pa.Array) -> np.ndarray:
+        return mix(np.asarray(ids.fill_null(0).to_numpy(zero_copy_only=False), np.int64).view(np.uint64))
+
+    bits = _bits.build(gone.where(F.col(name).isNotNull()).select(F.col(name).cast("long")), lambda batch: hashes(batch.column(0)))
+    sent = df.sparkSession.sparkContext.broadcast(bits)  # 2**BITS / 8 bytes
+    at = df.columns.index(doc_id)
+
+    def pick(hit: bool):
+        def run(batches):
+            for batch in batches:
+                ids = batch.column(at)
+                found = _bits.hit(sent.value, hashes(ids)) & np.asarray(ids.is_valid().to_numpy(zero_copy_only=False), bool)
+                yield batch.filter(pa.array(found == hit))
+
+        return df.mapInArrow(run, df.schema)
+
+    return pick(False).unionByName(pick(True).join(gone.select(F.col(name).alias(doc_id)).distinct(), doc_id, "left_anti").select(*df.columns))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return jaccard_components(docs).select("doc_id", "n_shingles", "component_id")

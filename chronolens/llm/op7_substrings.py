@@ -320,7 +320,7 @@ def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     step = BLOCK_ROWS.bit_length() - 1
     staged = stage(df.withColumn(block, F.shiftright(F.monotonically_increasing_id(), step)), "substrings")
     ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = _bits.table(shared_anchors(staged, doc_id, text), F.col("h"), ANCHOR_BITS)
+    bits = _bits.build(shared_anchors(staged, doc_id, text), bits=ANCHOR_BITS)
     asked = block_windows(staged, block, bits, ranges, doc_id, text)
     replied = answers(asked, ranges).select(F.col("b").alias(right), "w")
     schema = T.StructType(
