@@ -117,7 +117,7 @@ def learn(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
     rows = df.select(F.col(doc_id).alias(doc_id), F.col(text).alias(text), F.col(lang).alias(lang))
     summed = rows.mapInArrow(count, schema).repartition("l", "k").mapInArrow(add, schema)
     tables: dict[str, np.ndarray] = {}
-    for r in summed.toLocalIterator():  # a table of fixed size for each language
+    for r in summed.collect():  # a table of fixed size for each language
         t = tables.setdefault(r["l"], np.zeros(1 << TABLE_BITS, np.int64))
         t[r["k"] : r["k"] + (1 << 12)] += np.frombuffer(r["c"], np.int64)
     names = sorted(tables)

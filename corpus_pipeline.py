@@ -35,8 +35,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stay or go together.
     """
     found = stage(op2_jaccard.jaccard_components(docs.select("doc_id", "text")), "components")
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    out = docs.join(gone, "doc_id", "left_anti")
+    gone = found.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
+    out = op2_jaccard.drop_ids(docs, gone)
     if not found.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").isEmpty():
         out = out.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"]).union(out.where("doc_id IS NULL"))
     return out.select(*docs.columns)
