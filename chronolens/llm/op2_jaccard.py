@@ -50,6 +50,8 @@ COUNT_BITS = 21
 PIECE_BITS = 14
 #: Longs of a bitmap signature.
 SIGNATURE = 16
+#: Shingles above which a set has a wider one too.
+WIDE = 512
 
 _U = np.uint64
 
@@ -80,11 +82,19 @@ def may_link(n1, n2):
     return 4 * np.minimum(n1, n2) >= 3 * np.maximum(n1, n2)
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    """Parity bitmap: each shingle flips one bit; unequal bits <= unequal shingles."""
-    at = (mix(s) % _U(64 * SIGNATURE)).astype(np.int64)
-    odd = np.bincount(at, minlength=64 * SIGNATURE) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def signature(s: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """Parity bitmaps: each shingle flips one bit; unequal bits <= unequal shingles.
+
+    Sets of more than WIDE shingles have a wider one too, of twice their size in
+    bits at least: its width goes by the band of sizes (a power of two).  The
+    narrow one is the wide one folded.
+    """
+    bits = 64 * SIGNATURE
+    width = bits if len(s) <= WIDE else 1 << (2 * len(s) - 1).bit_length()
+    at = (mix(s) & _U(width - 1)).astype(np.int64)
+    odd = (np.bincount(at, minlength=width) & 1).astype(np.uint8)
+    narrow = np.bitwise_xor.reduce(odd.reshape(-1, bits), axis=0)
+    return np.packbits(narrow).view(np.int64), np.packbits(odd).view(np.int64) if width > bits else None
 
 
 def describe(df: DataFrame, text: str, seed: int, names: list[str]) -> DataFrame:
@@ -371,7 +381,7 @@ def pairs_apart(found: DataFrame, labels: DataFrame, ranges: int) -> DataFrame:
 
 
 def class_arrays(df: DataFrame, text: str, seed: int, wanted: np.ndarray) -> DataFrame:
-    """(node, n, sig, arr) of the classes that may be in a pair, staged."""
+    """(node, n, sig, wide, arr) of the classes that may be in a pair, staged."""
     sent = df.sparkSession.sparkContext.broadcast(wanted)  # 2**BITS / 8 bytes
 
     def run(batches):
@@ -379,7 +389,7 @@ def class_arrays(df: DataFrame, text: str, seed: int, wanted: np.ndarray) -> Dat
         seen: set[int] = set()
         for batch in batches:
             for _, raw, offsets in slices(batch, text):
-                out = [[], [], [], []]
+                out = [[], [], [], [], []]
                 for s in sets_of(raw, offsets, seed):
                     if not len(s):
                         continue
@@ -389,16 +399,18 @@ def class_arrays(df: DataFrame, text: str, seed: int, wanted: np.ndarray) -> Dat
                     seen.add(c)
                     out[0].append(c)
                     out[1].append(len(s))
-                    out[2].append(signature(s))
+                    narrow, wide = signature(s)
+                    out[2].append(narrow)
+                    out[3].append(wide)
                     top = s >> _U(16)
-                    out[3].append(top.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
+                    out[4].append(top.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
                 if out[0]:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64())), pa.array(out[3], pa.binary())],
-                        names=["node", "n", "sig", "arr"],
+                        [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), *[pa.array(x, pa.list_(pa.int64())) for x in out[2:4]], pa.array(out[4], pa.binary())],
+                        names=["node", "n", "sig", "wide", "arr"],
                     )
 
-    return stage(df.select(text).mapInArrow(run, "node long, n long, sig array<long>, arr binary"), "arrays")
+    return stage(df.select(text).mapInArrow(run, "node long, n long, sig array<long>, wide array<long>, arr binary"), "arrays")
 
 
 def _array(b: bytes) -> np.ndarray:
@@ -414,10 +426,27 @@ def verify(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
         one = arrays.groupBy("node").agg(*[F.first(x).alias(x + c) for x in extra])
         return one.withColumnRenamed("node", c)
 
+    def unequal(x: str, y: str):
+        return F.aggregate(F.zip_with(x, y, lambda u, v: F.bit_count(u.bitwiseXOR(v))), F.lit(0), lambda t, u: t + u)
+
     near = pairs.join(side("a", "n", "sig"), "a").join(side("b", "n", "sig"), "b")
-    unequal = F.aggregate(F.zip_with("siga", "sigb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = near.where((4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")) & (F.col("na") + F.col("nb") >= DEN * unequal))
-    near = stage(near.select("a", "b"), "near")
+    near = near.where((4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")) & (F.col("na") + F.col("nb") >= DEN * unequal("siga", "sigb")))
+    near = stage(near.select("a", "b", "na", "nb"), "near")
+
+    # large sets: their wide bitmaps, the wider one folded to the other's width
+    def folded(x: str, y: str):
+        m = F.size(y)
+        half = F.zip_with(F.slice(x, 1, m), F.slice(x, m + 1, m), lambda u, v: u.bitwiseXOR(v))
+        return F.when(F.size(x) == 2 * m, half).otherwise(F.col(x))
+
+    def wide(c: str) -> DataFrame:
+        some = arrays.where("wide IS NOT NULL").groupBy("node").agg(F.first("wide").alias("wide" + c))
+        return some.withColumnRenamed("node", c)
+
+    large = near.where(F.least("na", "nb") > WIDE).join(wide("a"), "a").join(wide("b"), "b")
+    large = large.withColumn("x", folded("widea", "wideb")).withColumn("y", folded("wideb", "widea"))
+    large = large.where((F.size("x") != F.size("y")) | (F.col("na") + F.col("nb") >= DEN * unequal("x", "y")))
+    near = stage(near.where(F.least("na", "nb") <= WIDE).select("a", "b").union(large.select("a", "b")), "near")
 
     def blocks(c: str) -> DataFrame:
         """Arrays of the classes on one side of the pairs: others stay unmoved."""

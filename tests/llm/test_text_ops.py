@@ -181,8 +181,27 @@ def test_jaccard_bounds():
         pool = np.array([rng.getrandbits(64) for _ in range(60)], np.uint64)
         a = np.unique(pool[[rng.random() < 0.8 for _ in pool]])
         b = np.unique(pool[[rng.random() < 0.8 for _ in pool]])
-        unequal = sum(bin(int(x) & (2**64 - 1)).count("1") for x in op2_jaccard.signature(a) ^ op2_jaccard.signature(b))
-        assert unequal <= len(np.setxor1d(a, b))
+        for x, y in ((a, b), (np.unique(a[:, None] + np.arange(40, dtype=np.uint64)), np.unique(b[:, None] + np.arange(40, dtype=np.uint64)))):
+            for u, v in zip(op2_jaccard.signature(x), op2_jaccard.signature(y)):
+                if u is not None and v is not None and len(u) == len(v):
+                    unequal = int(np.bitwise_count((u ^ v).view(np.uint64)).sum())
+                    assert unequal <= len(np.setxor1d(x, y))
+
+
+def test_jaccard_large_sets(spark):
+    """Sets beyond the narrow bitmaps, in bands of different widths, near the threshold."""
+    rng = random.Random(9)
+    rows, i = [], 0
+    for size in (500, 530, 1000, 1060, 2100):
+        base = [f"w{rng.randrange(10**7)}" for _ in range(size)]
+        for change in (0, 6, 12, 14, 16, 20, 40, 150):
+            words = list(base)
+            for k in range(change):
+                words[(k * size // max(1, change) + 7) % size] = f"x{rng.randrange(10**7)}"
+            rows.append((i, " ".join(words[: size - change % 7]), "en", "s", 1))
+            i += 1
+    got = op2_jaccard.jaccard_components(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got.collect()) == jaccard_brute(rows)
 
 
 # -- 3 -----------------------------------------------------------------------
