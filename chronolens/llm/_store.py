@@ -8,9 +8,12 @@ where that setting is absent (local tests) a folder of this process is used.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,8 +31,34 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own[0]
 
 
+_scope: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scope", default=None)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    made = _scope.get()
+    if made is not None:
+        made.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[list[str]]:
+    """Lists the paths made inside the block, so that they can be removed."""
+    made: list[str] = []
+    token = _scope.set(made)
+    try:
+        yield made
+    finally:
+        _scope.reset(token)
+
+
+def remove(spark: SparkSession, paths: Iterable[str]) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

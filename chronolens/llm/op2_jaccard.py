@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from . import _bits
 from ._graph import components
-from ._store import fresh, stage
+from ._store import fresh, new_path, remove, scratch, stage
 from ._words import grams, mix, slices, words_of
 
 SHINGLE = 5
@@ -589,7 +589,23 @@ def _compare_tiles(batches):
 
 
 def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``df`` without ``text``, with n_shingles (long) and component_id (long)."""
+    """``df`` without ``text``, with n_shingles (long) and component_id (long).
+
+    The result is staged, and what led to it is removed.
+    """
+    spark = df.sparkSession
+    result = new_path(spark, "components")
+    with scratch() as made:
+        try:
+            found = _components(df, doc_id, text)
+            found.write.parquet(result)
+            schema = found.schema
+        finally:
+            remove(spark, made)
+    return spark.read.schema(schema).parquet(result)
+
+
+def _components(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     spark = df.sparkSession
     df = df.drop(*[c for c in df.columns if c.lower() in ("n_shingles", "component_id")])
     names = fresh(df, "_n", "_c1", "_c2", "_place", "_counts")

@@ -2,21 +2,45 @@
 
 ``STAGES`` lists (name, function).  Each function takes (spark, docs, sf_dir) and
 returns a DataFrame; each result is written as Parquet and read again as the next
-stage's docs.  All but the last return the columns of documents.
+stage's docs.  All but the last return the columns of documents.  A stage's
+result must be written before the next stage is called, which removes the tables
+that the former has staged.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronolens.llm import op2_jaccard, op3_leaks, op4_languages, op6_pieces, op7_substrings
-from chronolens.llm._store import stage
+from chronolens.llm._store import remove, scratch, stage
 
 #: Share of the largest language below which a text is rejected.
 MIN_SHARE = 0.4
 
 
+#: Tables staged by the stage that was called last.
+_held: list[str] = []
+
+
+def _cleared(function):
+    """Removes what the stage before has staged: its result is written by now."""
+
+    @functools.wraps(function)
+    def call(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        remove(spark, _held)
+        _held.clear()
+        with scratch() as made:
+            out = function(spark, docs, sf_dir)
+        _held.extend(made)
+        return out
+
+    return call
+
+
+@_cleared
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts in no language (null, or without a letter) and mixtures in which no
     language has MIN_SHARE go; ``lang`` becomes the predicted language."""
@@ -26,6 +50,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
 
+@_cleared
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of similar documents stays: the one whose
     id names the component.
@@ -42,6 +67,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*docs.columns)
 
 
+@_cleared
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages are cut out of texts; texts with nothing left go."""
     found = op7_substrings.substring_dedup(docs)
@@ -50,6 +76,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return left.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
 
+@_cleared
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
@@ -57,6 +84,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return found.where(F.size("leaks") == 0).select(*docs.columns)
 
 
+@_cleared
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and the digests of ids and decoded text."""
     model = op6_pieces.default_model()
