@@ -13,9 +13,10 @@ its hash, so a document need not visit the blocks one by one:
    it; equal windows have equal anchors, and there are some twenty times fewer
    anchors than windows.  Anchors that lie in two documents or more go into a
    bit table of fixed size;
-2. each block sends the windows under such anchors, once each with the block's
-   smallest id, to the hash range that indexes them; a range answers which of a
-   block's windows occur in another block under a smaller id;
+2. each task sends the windows under such anchors, once for each block it reads
+   with the smallest id it saw, to the hash range that indexes them; a range takes
+   the block's smallest id and answers which of its windows occur in another block
+   under a smaller one;
 3. each block parses its documents with those answers and its own windows.
 
 A window in a third of all rows is sent once for each block, not for each row.
@@ -216,12 +217,18 @@ def answers(asked: DataFrame, ranges: int) -> DataFrame:
         held: dict[int, list] = {}
 
         def reply(parts):
+            parts.sort(key=lambda x: x[0])
             sizes = [len(w) // 20 for _, w in parts]
             blocks = np.repeat(np.array([b for b, _ in parts], np.int64), sizes)
             h1, h2, low = [np.concatenate(x) for x in zip(*[_unpack(w) for _, w in parts])]
             order, at = same_windows(h1, h2)
             least = np.repeat(np.minimum.reduceat(low[order], at), np.diff(np.append(at, len(order))))
-            o = order[least < low[order]]
+            # a block that two tasks read asks twice: its smallest id is that of both
+            new = np.zeros(len(order), bool)
+            new[at] = True
+            new[1:] |= blocks[order][1:] != blocks[order][:-1]
+            own = np.flatnonzero(new)
+            o = order[own[least[own] < np.minimum.reduceat(low[order], own)]]
             o = o[np.argsort(blocks[o], kind="stable")]
             cuts = np.flatnonzero(np.concatenate([[True], blocks[o][1:] != blocks[o][:-1]])) if len(o) else []
             ends = [*cuts[1:], len(o)]

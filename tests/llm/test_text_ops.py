@@ -380,6 +380,16 @@ def test_substrings(spark, docs, rows, block, monkeypatch):
     assert op7_substrings.substring_dedup(empty(spark)).count() == 0
 
 
+def test_substrings_block_in_two_tasks(spark, monkeypatch):
+    stage = op7_substrings.stage
+    monkeypatch.setattr(op7_substrings, "stage", lambda df, name: stage(df, name).repartition(3, "doc_id"))
+    passage = [f"p{i}" for i in range(50)]
+    rows = [(i, " ".join([f"w{i}x{j}" for j in range(60)] + passage * (i % 3 == 0))) for i in range(12)]
+    got = op7_substrings.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in got} == {i: 50 * (i % 3 == 0 and i > 0) for i in range(12)}
+    assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept"]) for r in got) == substring_brute(rows)
+
+
 # -- 8 -----------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body class="has-sidebar">
