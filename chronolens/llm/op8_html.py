@@ -5,9 +5,10 @@ every path the text length and the punctuation of its blocks are aggregated into
 two ratios; both are smoothed over the page's order, fused, and held against a
 threshold: paths above it hold content.  Blocks of what is never article text
 (menus, forms, adverts, comments and the like, by element or by the words of
-class, id and role) take no part.  The content's container is the article or main
-element with most fused weight, else the smallest element that holds the content
-blocks; its blocks are joined in page order.
+class, id and role) take no part.  Article and main elements, where a page has
+them, bound the content, and all of them count.  Headings and running text below
+the threshold (paragraphs, items, cells that aren't made of links) stay where
+their parent holds content.  Blocks are joined in page order.
 
 Defined results
   * null or empty html, or a page without content: empty text;
@@ -53,6 +54,8 @@ CLOSES_P = frozenset(
 )
 EXCLUDED = frozenset("nav footer aside form button select option menu dialog head search fieldset datalist".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+RUNNING = HEADINGS | frozenset("p li dt dd td th caption figcaption blockquote pre".split())
+GROUPS = frozenset("ul ol dl li table thead tbody tfoot tr figure blockquote hgroup header".split())
 
 #: Words of class, id or role that mark what is not article text.
 MARKS = frozenset(
@@ -74,12 +77,12 @@ _GAUSS = [g / sum(_GAUSS) for g in _GAUSS]
 
 
 class Element:
-    __slots__ = ("tag", "parent", "path", "marked", "holds", "kept", "depth")
+    __slots__ = ("tag", "parent", "path", "marked", "holds", "kept", "link")
 
     def __init__(self, tag: str, parent: "Element | None", marked: bool):
         self.tag, self.parent, self.marked = tag, parent, marked
         self.path = (parent.path if parent else "") + "/" + tag
-        self.depth = parent.depth + 1 if parent else 0
+        self.link = tag == "a" or tag in INLINE and parent is not None and parent.link
         self.holds = False
         self.kept = None
 
@@ -103,21 +106,22 @@ def _marked(tag: str, attrs: str) -> bool:
     return False
 
 
-def blocks(page: str) -> list[tuple[Element, str]]:
-    """(element, text) of each block of text in page order."""
-    out: list[tuple[Element, str]] = []
+def blocks(page: str) -> list[tuple[Element, str, bool]]:
+    """(element, text, whether most of it is links) of each block of text in page order."""
+    out: list[tuple[Element, str, bool]] = []
     top = Element("", None, False)
     stack = [top]
     words: list[str] = []
+    linked = 0
     holder = top
 
     def flush():
-        nonlocal words
+        nonlocal words, linked
         if words:
             text = " ".join(_html.unescape("".join(words)).split())
             if text:
-                out.append((holder, text))
-            words = []
+                out.append((holder, text, 2 * linked > sum(len(w) for w in words if not w.isspace())))
+            words, linked = [], 0
 
     def pop_to(k: int):
         del stack[k:]
@@ -138,6 +142,8 @@ def blocks(page: str) -> list[tuple[Element, str]]:
             if not words:
                 holder = block_holder()
             words.append(page[at:lt])
+            if stack[-1].link and not words[-1].isspace():
+                linked += lt - at
         if lt == n:
             break
         m = _TOKEN.match(page, lt)
@@ -261,74 +267,87 @@ def _allowed(e: Element, heading: bool = False) -> bool:
     return ok
 
 
-def scores(found: list[tuple[Element, str]]) -> list[float]:
-    """Fused, smoothed path ratio of each block."""
+def scores(found: list[tuple[Element, str, bool]]) -> list[float]:
+    """Fused, smoothed path ratio of each block.
+
+    Neighbours pull a block down, not up: text beside an advert doesn't lift it.
+    """
     length: dict[str, list[float]] = {}
-    for e, text in found:
+    for e, text, _ in found:
         s = length.setdefault(e.path, [0.0, 0.0, 0.0])
         s[0] += len(text)
         s[1] += sum(map(text.count, PUNCTUATION))
         s[2] += 1
-    raw = [(s[0] / s[2], s[1] / s[2]) for s in (length[e.path] for e, _ in found)]
+    raw = [(s[0] / s[2], s[1] / s[2]) for s in (length[e.path] for e, _, _ in found)]
     n = len(raw)
     smooth = []
     for j in (0, 1):
         v = [r[j] for r in raw]
         smooth.append([sum(g * v[min(n - 1, max(0, i + d))] for d, g in zip((-1, 0, 1), _GAUSS)) for i in range(n)])
-    return [a * math.log1p(1.0 + b) for a, b in zip(*smooth)]
+    return [min(a * math.log1p(1.0 + b), c * math.log1p(1.0 + d)) for a, b, (c, d) in zip(*smooth, raw)]
+
+
+def _around(e: Element) -> Element | None:
+    """The element that e's list, table or figure stands in, or e's parent."""
+    up = e.parent
+    while up is not None and up.tag in GROUPS:
+        up = up.parent
+    return up
+
+
+def _within(e: Element | None, root: Element) -> bool:
+    while e is not None and e is not root:
+        e = e.parent
+    return e is root
 
 
 def extract(page: str | None) -> str:
     """Main text of a page."""
     if not page:
         return ""
-    found = [(e, t) for e, t in blocks(page) if _allowed(e)]
+    found = [x for x in blocks(page) if _allowed(x[0])]
     if not found:
         return ""
+    # article and main elements bound the content
+    found = [x for x in found if _inside(x[0], ("article", "main")) is not None] or found
     fused = scores(found)
-    weight: dict[Element, float] = {}
-    for (e, t), f in zip(found, fused):
-        root = _inside(e, ("article",)) or _inside(e, ("main",))
-        if root is not None:
-            weight[root] = weight.get(root, 0.0) + f * len(t)
-    if weight:
-        best = max(weight.values())
-        root = next(e for e, w in weight.items() if w == best)
-        return "\n\n".join(t for e, t in found if (_inside(e, ("article",)) or _inside(e, ("main",))) is root)
     # paths whose fused ratio reaches the threshold hold content
     mean = sum(fused) / len(fused)
     spread = math.sqrt(sum((f - mean) ** 2 for f in fused) / len(fused))
-    threshold = min(max(fused), max(0.0, mean - spread))
+    # where boilerplate outnumbers the content, mean - spread bounds nothing
+    threshold = min(max(fused), max(0.5 * spread, mean - spread))
     paths: dict[str, float] = {}
-    for (e, _), f in zip(found, fused):
+    for (e, _, _), f in zip(found, fused):
         paths[e.path] = max(paths.get(e.path, 0.0), f)
-    content = [i for i, (e, _) in enumerate(found) if paths[e.path] >= threshold]
-    if not content:
-        return ""
-    # the smallest element around nine tenths of the content's weight
-    total = 0.0
-    held: dict[Element, float] = {}
+    content = [i for i, (e, _, _) in enumerate(found) if paths[e.path] >= threshold]
+    held: set[Element] = set()
     for i in content:
-        w = fused[i] * len(found[i][1])
-        total += w
         e: Element | None = found[i][0]
-        while e is not None:
-            held[e] = held.get(e, 0.0) + w
+        while e is not None and e not in held:
+            held.add(e)
             e = e.parent
-    root = max((e for e, w in held.items() if w >= 0.9 * total), key=lambda e: e.depth)
-    if root.tag in ("p", "li", "td", "pre", *HEADINGS) and root.parent is not None:
-        root = root.parent
+    # without one, the smallest element around nine tenths of the content's weight does
+    if all(_inside(e, ("article", "main")) is None for e, _, _ in found):
+        weight: dict[Element, float] = {}
+        for i in content:
+            up: Element | None = found[i][0]
+            while up is not None:
+                weight[up] = weight.get(up, 0.0) + fused[i] * len(found[i][1])
+                up = up.parent
+        total = max(weight.values())
+        root = [e for e, w in weight.items() if w >= 0.9 * total][0]
+        if root.tag in ("p", "li", "td", "pre", *HEADINGS) and root.parent is not None:
+            root = root.parent
+        found = [x for x in found if _within(x[0], root)]
+        content = [i for i, (e, _, _) in enumerate(found) if paths[e.path] >= threshold]
+        held = {e for e in held if _within(e, root)}
+    kept = set(content)
 
-    def within(e: Element | None) -> bool:
-        while e is not None:
-            if e is root:
-                return True
-            e = e.parent
-        return False
+    def beside(e: Element, linked: bool) -> bool:
+        """Whether e is running text or a heading where content stands."""
+        return e.tag in RUNNING and (e.tag in HEADINGS or not linked) and _around(e) in held
 
-    kept = set(content)
-    whole = root.tag not in ("", "html", "body")  # a container of its own: short blocks in it belong to the text
-    return "\n\n".join(t for i, (e, t) in enumerate(found) if within(e) and (whole or i in kept or e.tag in HEADINGS))
+    return "\n\n".join(t for i, (e, t, linked) in enumerate(found) if i in kept or beside(e, linked))
 
 
 def extract_text(df: DataFrame, html: str = "html", keep_html: bool = False) -> DataFrame:

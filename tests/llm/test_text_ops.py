@@ -408,6 +408,24 @@ def test_html(tag):
     assert op8_html.extract((PAGE % (tag, tag.split()[0])).replace("</footer>", "")) == WANT
 
 
+LONG = "A long sentence, with some commas, and a good many words in it; so it goes on. " * 6
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+@pytest.mark.parametrize("n", [2, 12])
+def test_html_ratio_decides(tag, n):
+    links = "<div><ul>" + "<li><a href=/>Other story</a>" * 9 + "</ul></div>"
+    text = f"<p>{LONG}</p>" * n
+    page = f"<body><{tag}><h1>T</h1>{text}<div>Buy now</div>{text}<ul><li>Eggs<li>Flour</ul>{links}</{tag}>"
+    want = ["T", *[LONG.strip()] * 2 * n, "Eggs", "Flour"]
+    assert op8_html.extract(page).split("\n\n") == want
+
+
+def test_html_sibling_articles():
+    page = f"<main><article><h2>A</h2><p>{LONG * 3}</p></article><article><h2>B</h2><p>{LONG}</p></article></main>"
+    assert op8_html.extract(page).split("\n\n") == ["A", (LONG * 3).strip(), "B", LONG.strip()]
+
+
 def test_html_odd(spark):
     odd = {None: "", "": "", "   ": "", "<p>": "", "plain words, only.": "plain words, only.", "<p>a<p>b": "a\n\nb", "<article><p>x &#0; <": "x \ufffd <"}
     odd["<article><p>" + "long, text. " * 20000] = ("long, text. " * 20000).strip()
