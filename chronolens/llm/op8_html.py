@@ -295,12 +295,6 @@ def _around(e: Element) -> Element | None:
     return up
 
 
-def _within(e: Element | None, root: Element) -> bool:
-    while e is not None and e is not root:
-        e = e.parent
-    return e is root
-
-
 def extract(page: str | None) -> str:
     """Main text of a page."""
     if not page:
@@ -326,21 +320,6 @@ def extract(page: str | None) -> str:
         while e is not None and e not in held:
             held.add(e)
             e = e.parent
-    # without one, the smallest element around nine tenths of the content's weight does
-    if all(_inside(e, ("article", "main")) is None for e, _, _ in found):
-        weight: dict[Element, float] = {}
-        for i in content:
-            up: Element | None = found[i][0]
-            while up is not None:
-                weight[up] = weight.get(up, 0.0) + fused[i] * len(found[i][1])
-                up = up.parent
-        total = max(weight.values())
-        root = [e for e, w in weight.items() if w >= 0.9 * total][0]
-        if root.tag in ("p", "li", "td", "pre", *HEADINGS) and root.parent is not None:
-            root = root.parent
-        found = [x for x in found if _within(x[0], root)]
-        content = [i for i, (e, _, _) in enumerate(found) if paths[e.path] >= threshold]
-        held = {e for e in held if _within(e, root)}
     kept = set(content)
 
     def beside(e: Element, linked: bool) -> bool:

@@ -426,6 +426,17 @@ def test_html_sibling_articles():
     assert op8_html.extract(page).split("\n\n") == ["A", (LONG * 3).strip(), "B", LONG.strip()]
 
 
+@pytest.mark.parametrize("n", [1, 20])
+def test_html_lead_and_section(n):
+    long = f"<p>{LONG}</p>" * n
+    want = ["T", "Lead.", *[LONG.strip()] * n]
+    assert op8_html.extract(f"<div class=post><h1>T</h1><p>Lead.</p><div class=text>{long}</div></div>").split("\n\n") == want
+    if n == 1:
+        assert op8_html.extract(f"<div class=post><h1>T</h1><p>Lead.</p><div class=text>{LONG}</div></div>").split("\n\n") == want
+    page = f"<div><section>{long * 9}</section><section><p>One short section, with a text.</p></section></div>"
+    assert op8_html.extract(page).split("\n\n") == [*[LONG.strip()] * 9 * n, "One short section, with a text."]
+
+
 def test_html_odd(spark):
     odd = {None: "", "": "", "   ": "", "<p>": "", "plain words, only.": "plain words, only.", "<p>a<p>b": "a\n\nb", "<article><p>x &#0; <": "x \ufffd <"}
     odd["<article><p>" + "long, text. " * 20000] = ("long, text. " * 20000).strip()
