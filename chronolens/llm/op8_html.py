@@ -4,8 +4,9 @@ A page is read into blocks of text, each with its root-to-leaf tag path.  For
 every path the text length and the punctuation of its blocks are aggregated into
 two ratios; both are smoothed over the page's order, fused, and held against a
 threshold: paths above it hold content.  Blocks of what is never article text
-(menus, forms, adverts, comments and the like, by element or by the words of
-class, id and role) take no part.  Article and main elements, where a page has
+(menus, forms, adverts, comments and the like, by element or by whole names in
+class, id and role) take no part; the mark of a name is overruled where the
+element's text outweighs all the rest, unless it names adverts or consent.  Article and main elements, where a page has
 them, bound the content, and all of them count.  Headings and running text below
 the threshold (paragraphs, items, cells that aren't made of links) stay where
 their parent holds content.  Blocks are joined in page order.
@@ -57,7 +58,7 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 RUNNING = HEADINGS | frozenset("p li dt dd td th caption figcaption blockquote pre".split())
 GROUPS = frozenset("ul ol dl li table thead tbody tfoot tr figure blockquote hgroup header".split())
 
-#: Words of class, id or role that mark what is not article text.
+#: Names of class, id or role that mark what is not article text.
 MARKS = frozenset(
     "ad ads adbox advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted "
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay lightbox "
@@ -69,9 +70,19 @@ MARKS = frozenset(
     "search searchbox form pagination pager paging toolbar tags taglist metadata byline copyright legal disclaimer "
     "contentinfo complementary".split()
 )
+#: Of these, what is never overruled: adverts and consent.
+ADVERTS = frozenset(
+    "ad ads adbox advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted cookie cookies consent gdpr".split()
+)
+#: Words that may stand beside a mark in one name.
+PLACES = frozenset("site left right wrapper container box".split())
+SOFT, HARD = 1, 2
 
 PUNCTUATION = frozenset(".,;:!?…。，、；：！？¿¡")
 
+#: Ratio of whole sentences (100 characters, two marks): content, however long other blocks are.
+SENTENCE = 100 * math.log1p(3.0)
+
 _GAUSS = [math.exp(-0.5 * k * k) for k in (-1, 0, 1)]
 _GAUSS = [g / sum(_GAUSS) for g in _GAUSS]
 
@@ -79,7 +90,7 @@ _GAUSS = [g / sum(_GAUSS) for g in _GAUSS]
 class Element:
     __slots__ = ("tag", "parent", "path", "marked", "holds", "kept", "link")
 
-    def __init__(self, tag: str, parent: "Element | None", marked: bool):
+    def __init__(self, tag: str, parent: "Element | None", marked: int):
         self.tag, self.parent, self.marked = tag, parent, marked
         self.path = (parent.path if parent else "") + "/" + tag
         self.link = tag == "a" or tag in INLINE and parent is not None and parent.link
@@ -87,29 +98,41 @@ class Element:
         self.kept = None
 
 
-def _marked(tag: str, attrs: str) -> bool:
-    """Whether an element's attributes mark it as other than article text."""
-    if tag in ("html", "body", "article", "main"):
-        names = {}
-    else:
-        names = None
+def _names(value: str) -> set[str]:
+    """The marks among whole names: names all of whose words are marks or places."""
+    found: set[str] = set()
+    for name in value.lower().split():
+        words = {w for w in _WORDS.findall(name) if not w.isdigit()}
+        if words <= MARKS | PLACES:
+            found |= words & MARKS
+    return found
+
+
+def _marked(tag: str, attrs: str, parent: Element) -> int:
+    """Whether an element's attributes mark it as other than article text: HARD if nothing overrules that."""
+    mark = 0
     for m in _ATTRIBUTE.finditer(attrs):
         name = (m[1] or m[5]).lower()
         value = m[2] if m[2] is not None else m[3] if m[3] is not None else m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return HARD
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-        if name in ("class", "id", "role") and not MARKS.isdisjoint(_WORDS.findall(value.lower())):
-            if names is None or tag == "article" and not {"comment", "comments", "reply"}.isdisjoint(_WORDS.findall(value.lower())):
-                return True
-    return False
+            return HARD
+        if name in ("class", "id", "role"):
+            names = _names(value)
+            if tag in ("html", "body", "article", "main"):
+                names &= {"comment", "comments", "reply"} if tag == "article" else set()
+            if "header" in names and _inside(parent, ("article", "main")) is not None:
+                names.discard("header")
+            if names:
+                mark = max(mark, SOFT if ADVERTS.isdisjoint(names) else HARD)
+    return mark
 
 
 def blocks(page: str) -> list[tuple[Element, str, bool]]:
     """(element, text, whether most of it is links) of each block of text in page order."""
     out: list[tuple[Element, str, bool]] = []
-    top = Element("", None, False)
+    top = Element("", None, 0)
     stack = [top]
     words: list[str] = []
     linked = 0
@@ -162,13 +185,13 @@ def blocks(page: str) -> list[tuple[Element, str, bool]]:
         tag = tag.lower()
         if not m["end"]:
             if tag in INLINE:
-                marked = _marked(tag, m["attrs"]) if m["attrs"] else False
+                marked = _marked(tag, m["attrs"], stack[-1]) if m["attrs"] else 0
                 if marked:
                     flush()
-                    stack.append(Element(tag, stack[-1], True))
+                    stack.append(Element(tag, stack[-1], marked))
                     holder = stack[-1]
                 else:
-                    stack.append(Element(tag, stack[-1], False))
+                    stack.append(Element(tag, stack[-1], 0))
                 continue
             if tag == "br":
                 words.append(" ")
@@ -215,7 +238,7 @@ def blocks(page: str) -> list[tuple[Element, str, bool]]:
                             break
                     elif stack[k].tag in stop:
                         break
-            e = Element(tag, stack[-1], _marked(tag, m["attrs"]) if m["attrs"] else False)
+            e = Element(tag, stack[-1], _marked(tag, m["attrs"], stack[-1]) if m["attrs"] else 0)
             if tag in ("article", "main"):
                 up = e.parent
                 while up is not None and not up.holds:
@@ -257,7 +280,7 @@ def _allowed(e: Element, heading: bool = False) -> bool:
     ok = True if x is None else x.kept
     for x in reversed(chain):
         if ok:
-            if x.marked and not x.holds:
+            if x.marked == HARD and not x.holds:
                 ok = False
             elif x.tag in EXCLUDED and not (x.holds and x.tag == "form"):
                 ok = False
@@ -287,6 +310,43 @@ def scores(found: list[tuple[Element, str, bool]]) -> list[float]:
     return [min(a * math.log1p(1.0 + b), c * math.log1p(1.0 + d)) for a, b, (c, d) in zip(*smooth, raw)]
 
 
+def _marks(e: Element | None) -> list[Element]:
+    """Elements around e that are marked and may be overruled, the outermost last."""
+    out = []
+    while e is not None:
+        if e.marked == SOFT and not e.holds:
+            out.append(e)
+        e = e.parent
+    return out
+
+
+def unmarked(found: list[tuple[Element, str, bool]]) -> list[tuple[Element, str, bool]]:
+    """The blocks without marked ones; a mark on most of the text is overruled."""
+    fused: list[float] = []
+    while True:
+        marks = [_marks(e) for e, _, _ in found]
+        free = [x for x, m in zip(found, marks) if not m]
+        if len(free) == len(found):
+            return free
+        fused = fused or scores(found)
+        roots = {_inside(e, ("article", "main")) for e, _, _ in free} - {None}
+        rest, held = 0.0, {}
+        for (e, t, _), f, m in zip(found, fused, marks):
+            if not roots or _inside(e, ("article", "main")) in roots:
+                if not m:
+                    rest += f * len(t)
+                for x in m:
+                    held[x] = held.get(x, 0.0) + f * len(t)
+        top = max(held, key=held.get, default=None)
+        if top is None or held[top] <= rest:
+            return free
+        for m in marks:  # with the marked elements around or inside it that hold as much
+            if top in m:
+                for x in m:
+                    if held.get(x, 0.0) > rest:
+                        x.marked = 0
+
+
 def _around(e: Element) -> Element | None:
     """The element that e's list, table or figure stands in, or e's parent."""
     up = e.parent
@@ -299,7 +359,7 @@ def extract(page: str | None) -> str:
     """Main text of a page."""
     if not page:
         return ""
-    found = [x for x in blocks(page) if _allowed(x[0])]
+    found = unmarked([x for x in blocks(page) if _allowed(x[0])])
     if not found:
         return ""
     # article and main elements bound the content
@@ -309,7 +369,7 @@ def extract(page: str | None) -> str:
     mean = sum(fused) / len(fused)
     spread = math.sqrt(sum((f - mean) ** 2 for f in fused) / len(fused))
     # where boilerplate outnumbers the content, mean - spread bounds nothing
-    threshold = min(max(fused), max(0.5 * spread, mean - spread))
+    threshold = min(max(fused), SENTENCE, max(0.5 * spread, mean - spread))
     paths: dict[str, float] = {}
     for (e, _, _), f in zip(found, fused):
         paths[e.path] = max(paths.get(e.path, 0.0), f)
@@ -322,9 +382,24 @@ def extract(page: str | None) -> str:
             e = e.parent
     kept = set(content)
 
+    def running(e: Element, linked: bool) -> bool:
+        return e.tag in RUNNING and (e.tag in HEADINGS or not linked)
+
+    # wrappers of a title and running text only
+    titled = {_around(e) for e, _, _ in found if e.tag in ("h1", "h2")} - held
+    for i, (e, _, linked) in enumerate(found):
+        if titled and i not in kept and not running(e, linked):
+            up = e.parent
+            while up is not None:
+                titled.discard(up)
+                up = up.parent
+
     def beside(e: Element, linked: bool) -> bool:
         """Whether e is running text or a heading where content stands."""
-        return e.tag in RUNNING and (e.tag in HEADINGS or not linked) and _around(e) in held
+        if not running(e, linked):
+            return False
+        up = _around(e)
+        return up in held or up in titled and up.parent in held
 
     return "\n\n".join(t for i, (e, t, linked) in enumerate(found) if i in kept or beside(e, linked))
 

@@ -437,6 +437,22 @@ def test_html_lead_and_section(n):
     assert op8_html.extract(page).split("\n\n") == [*[LONG.strip()] * 9 * n, "One short section, with a text."]
 
 
+@pytest.mark.parametrize("attrs", ['class="content has-sidebar"', 'id="main-form"', 'class="post with-comments"', 'class="sidebar content"', "class=comments"])
+def test_html_names_around_the_article(attrs):
+    side = '<div class="sidebar"><p>More stories, here.</p></div><div class="ad"><p>Buy, now!</p></div>'
+    for page in ("<div %s><h1>T</h1><p>%s</p></div>" + side, "<article %s><h1>T</h1><p>%s</p></article>" + side):
+        assert op8_html.extract(page % (attrs, LONG)) == "T\n\n" + LONG.strip()
+
+
+def test_html_names_inside_the_article():
+    more = f'<section class="reviews"><p>{LONG * 9}</p></section>'
+    page = f'<article><div class="article-header"><h1>T</h1></div><p>{LONG}</p><div class="more-text"><p>{LONG}</p></div>%s</article>'
+    want = ["T", LONG.strip(), LONG.strip()]
+    assert op8_html.extract(page % '<div class="comments"><p>I agree, a lot.</p></div>').split("\n\n") == want
+    assert op8_html.extract(page % more).split("\n\n") == [*want, (LONG * 9).strip()]
+    assert op8_html.extract(f"<article><p>{LONG}</p></article><article class=comment><p>{LONG * 2}</p></article>") == LONG.strip()
+
+
 def test_html_odd(spark):
     odd = {None: "", "": "", "   ": "", "<p>": "", "plain words, only.": "plain words, only.", "<p>a<p>b": "a\n\nb", "<article><p>x &#0; <": "x \ufffd <"}
     odd["<article><p>" + "long, text. " * 20000] = ("long, text. " * 20000).strip()
