@@ -135,12 +135,17 @@ def mean_absolute(attributions: DataFrame) -> DataFrame:
     return m.select("t", F.when(top > 0, F.col("v") / top).otherwise(F.col("v")).alias("value"))
 
 
+#: Rows a Shapley background may have.
+MAX_BACKGROUND = 100
+
+
 def shapley_windows(series: DataFrame, model: Model, background: DataFrame, window: int | None = None, stride: int | None = None, permutations: int = 16, mode: str = "confidence", target=None, seed: int = 42) -> DataFrame:
     """(id, t, v): Shapley values of windows, spread over their points.
 
     Windows are players; a player left out takes its points from a background row.
     Values are estimated over seeded permutations: each player's gain when it
-    joins those before it.  ``background`` is a bounded table (tens of rows).
+    joins those before it.  ``background`` is a bounded table (tens of rows); one
+    of more than MAX_BACKGROUND rows is an error, not cut.
     """
     from .transform import _rows, bank_features
 
@@ -152,7 +157,10 @@ def shapley_windows(series: DataFrame, model: Model, background: DataFrame, wind
     w = window or max(5, length // 10)
     s = stride or max(1, w // 3)
     starts = list(range(0, max(1, length - w + 1), s))
-    base = np.array([r[0] for r in background.select("x").limit(100).collect()], np.float64)
+    rows = background.select("x").limit(MAX_BACKGROUND + 1).collect()
+    if len(rows) > MAX_BACKGROUND:
+        raise ValueError(f"background has more than {MAX_BACKGROUND} rows")
+    base = np.array([r[0] for r in rows], np.float64)
     sent = series.sparkSession.sparkContext.broadcast((model, base, starts))
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("t", T.IntegerType()), T.StructField("v", T.DoubleType())])
 

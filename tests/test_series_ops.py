@@ -293,6 +293,13 @@ def test_shapley_sums_to_gain(spark, fitted, test_bumps):
     assert v.count() == 200 and v.where("isnan(v)").count() == 0
 
 
+def test_shapley_background_is_not_cut(spark, fitted, test_bumps, monkeypatch):
+    monkeypatch.setattr(saliency, "MAX_BACKGROUND", 5, raising=False)
+    assert saliency.shapley_windows(test_bumps.where("id < 2"), fitted, test_bumps.limit(5), permutations=1).count() > 0
+    with pytest.raises(ValueError):
+        saliency.shapley_windows(test_bumps.where("id < 2"), fitted, test_bumps.limit(6), permutations=1)
+
+
 def test_predict_columns(spark, fitted, test_bumps):
     s = test_bumps.where("id < 3")
     c = {r.id: r.value for r in saliency.predict_column(fitted)(s).collect()}
