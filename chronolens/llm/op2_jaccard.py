@@ -6,9 +6,9 @@ sequence if it has fewer words).  Two documents link when
 
 Copies are one class, known by 128 bits of the set.  Classes meet in tiles: a
 tile holds the classes that have one shingle among the rarest quarter of their
-sets and lie in a band of sizes in which a link is possible at all.  Sets that
-reach the threshold must share such a shingle (prefix filter), so no link is
-lost.  Rarity is read from a table of counts of fixed size over the whole corpus;
+sets, whatever their sizes; whether two sizes allow a link is tested pair by pair.
+Sets that reach the threshold must share such a shingle (prefix filter), so no
+link is lost.  Rarity is read from a table of counts of fixed size over the whole corpus;
 it only decides the order, never the result.
 
 Inside a tile each class is compared with the tile's hub (its least class), not
