@@ -13,6 +13,7 @@ executors; every block is held against every text, and texts are never shuffled.
 Defined results
   * null or empty text: no match; null or empty items, and items of fewer than
     ``min_chars`` normalised characters (which chance would match): never match;
+    a warning gives the number of such short items;
   * equal items each match under their own id; an item id that repeats gives one
     match for each row of it, a null one is reported as null;
   * for each text and item the best passage is reported, the first of equals;
@@ -23,6 +24,7 @@ Defined results
 from __future__ import annotations
 
 import re
+import warnings
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -142,16 +144,19 @@ class Matcher:
 
 def item_blocks(benchmark: DataFrame, item_id: str, text: str, min_chars: int):
     """Lists of (id, normalised text) of BLOCK_CHARS characters or little more."""
-    block, size = [], 0
+    block, size, short = [], 0, 0
     for r in benchmark.select(item_id, text).toLocalIterator():
         t = normal(r[1])
         if len(t) < max(1, min_chars):
+            short += bool(t)
             continue
         block.append((r[0], t))
         size += len(t)
         if size >= BLOCK_CHARS:
             yield block
             block, size = [], 0
+    if short:
+        warnings.warn(f"{short} benchmark items of fewer than {min_chars} normalised characters are not searched", stacklevel=2)
     if block:
         yield block
 

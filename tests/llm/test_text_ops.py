@@ -252,6 +252,13 @@ def test_leaks(spark):
     assert all(not r["leaks"] for r in op3_leaks.find_leaks(df, bench.limit(0)).collect())
 
 
+def test_leaks_tell_short_items(spark):
+    bench = spark.createDataFrame([(0, "too short"), (1, ""), (2, None), (3, "a b c"), (4, "long enough to be searched")], "item_id long, text string")
+    with pytest.warns(UserWarning, match="^2 benchmark items"):
+        blocks = list(op3_leaks.item_blocks(bench, "item_id", "text", op3_leaks.MIN_CHARS))
+    assert [[i for i, _ in b] for b in blocks] == [[4]]
+
+
 def test_leak_blocks(spark, monkeypatch):
     monkeypatch.setattr(op3_leaks, "BLOCK_CHARS", 30)
     bench = spark.createDataFrame([(i, f"this is item number {i} of the benchmark {i * 7}") for i in range(9)], "item_id long, text string")
