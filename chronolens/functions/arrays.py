@@ -25,20 +25,24 @@ def zero_pad(x: Column, n: int) -> Column:
 def convolve(x: Column, taps: tuple[int, int, int], dilation: int) -> Column:
     """Same-length convolution with a kernel of 2 at ``taps`` and -1 elsewhere.
 
-    Written as three times the taps minus the sum of all nine.
+    Written as three times the taps minus the sum of all nine.  The padded series
+    is bound once, as the variable of a one-element transform; named inside the
+    inner lambda it would be built again for every tap of every timepoint.
     """
     d = dilation
     i0, i1, i2 = taps
-    padded = zero_pad(x, 4 * d)
 
-    def at(t: Column) -> Column:
-        three = padded[t + i0 * d] + padded[t + i1 * d] + padded[t + i2 * d]
-        nine = padded[t]
-        for k in range(1, 9):
-            nine = nine + padded[t + k * d]
-        return 3 * three - nine
+    def whole(padded: Column) -> Column:
+        def at(t: Column) -> Column:
+            three = padded[t + i0 * d] + padded[t + i1 * d] + padded[t + i2 * d]
+            nine = padded[t]
+            for k in range(1, 9):
+                nine = nine + padded[t + k * d]
+            return 3 * three - nine
 
-    return F.transform(F.sequence(F.lit(0), F.size(x) - 1), at)
+        return F.transform(F.sequence(F.lit(0), F.size(padded) - 1 - 8 * d), at)
+
+    return F.transform(F.array(zero_pad(x, 4 * d)), whole)[0]
 
 
 def active(c: Column, bias: Column) -> Column:
