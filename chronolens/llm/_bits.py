@@ -18,6 +18,11 @@ BITS = 26
 PARTS = 64
 
 
+def bits_for(n: int, least: int = 20, most: int = 29) -> int:
+    """Bits of a table for up to n hashes: 2**most / 8 bytes (64 MB) at most."""
+    return min(most, max(least, int(n).bit_length()))
+
+
 def places(h: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Bit of each hash (int64 or uint64, already well mixed)."""
     return (np.ascontiguousarray(h).view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)

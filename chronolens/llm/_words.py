@@ -1,9 +1,10 @@
 """Vectorised tokenisation of Arrow string batches.
 
 A word is a maximal run of bytes other than 0x20 and 0x09-0x0D.  All of those
-are ASCII, so the runs are the same on UTF-8 bytes as on code points.  Each
-word gets a 64-bit hash computed with NumPy over whole batches; no Python
-object is made per word.
+are ASCII, so the runs are the same on UTF-8 bytes as on code points.  A word's
+64-bit hash chains its 8-byte lanes through a bijective mixer, for all words of a
+batch at once (equal in size and up to 8 bytes: no collisions at all); words of
+more than LONG bytes are hashed by XXH3.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from xxhash import xxh3_64_intdigest
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -21,24 +23,11 @@ LOWER[65:91] += 32
 #: Bytes hashed at once: bounds the work arrays (8 bytes each for a byte).
 PIECE = 1 << 20
 
-_U = np.uint64
-_table = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**64 - 1, 256, dtype=np.uint64) | _U(1)
-_base = 0x9E3779B97F4A7C15 | 1
-_inverse = pow(_base, -1, 1 << 64)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
+#: Bytes of a word up to which it is hashed by lanes.
+LONG = 256
 
-def powers(n: int, base: int = _base) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64, for i below n."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) < n:
-        size = max(n, 1 << 12)
-        up = np.full(size, base, np.uint64)
-        up[0] = 1
-        down = np.full(size, pow(base, -1, 1 << 64), np.uint64)
-        down[0] = 1
-        have = _powers[base] = (np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64))
-    return have
+_U = np.uint64
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -77,6 +66,22 @@ class Words:
         self.raw, self.offsets, self.start, self.end, self.hash, self.first = raw, offsets, start, end, hashes, first
 
 
+def hash_words(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each word b[start:end]."""
+    size = end - start
+    lanes = np.ndarray(len(b) + 1, "<u8", np.concatenate([b, np.zeros(8, np.uint8)]), strides=(1,))
+    h = mix(size.astype(np.uint64) * _U(0x9E3779B97F4A7C15) + _U(0xD1B54A32D192ED03))
+    h = mix(h ^ (lanes[start] & _MASK[np.minimum(size, 8)]))
+    at, k = np.flatnonzero((size > 8) & (size <= LONG)), 8
+    while len(at):
+        h[at] = mix(h[at] ^ (lanes[start[at] + k] & _MASK[np.minimum(size[at] - k, 8)]))
+        k += 8
+        at = at[size[at] > k]
+    for i in np.flatnonzero(size > LONG).tolist():
+        h[i] = xxh3_64_intdigest(b[start[i] : end[i]].tobytes())
+    return h
+
+
 def _piece(b: np.ndarray, cuts: np.ndarray, hashed: bool):
     """Words of bytes ``b``; ``cuts``: positions in b where a row begins."""
     word = ~SEPARATOR[b]
@@ -90,14 +95,7 @@ def _piece(b: np.ndarray, cuts: np.ndarray, hashed: bool):
     after[:-1] = word[1:]
     after[cuts[cuts > 0] - 1] = False
     end = np.flatnonzero(word & ~after) + 1
-    if not hashed:
-        return start, end, None
-    up, down = powers(len(b) + 1)
-    total = np.empty(len(b) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_table[b] * up[: len(b)], dtype=np.uint64, out=total[1:])
-    h = (total[end] - total[start]) * down[start]
-    return start, end, mix(h + (end - start).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+    return start, end, hash_words(b, start, end) if hashed else None
 
 
 def words_of(raw: np.ndarray, offsets: np.ndarray, lower: bool = False, hashed: bool = True) -> Words:
@@ -151,6 +149,27 @@ def slices(batch: pa.RecordBatch, text: str, size: int = 2 << 20) -> Iterator[tu
         at = to
 
 
+def hash_runs(h: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
+    """Hash of every n consecutive word hashes, by doubling; each step is mixed."""
+    if len(h) < n:
+        return np.zeros(0, np.uint64)
+    total = len(h) - n + 1
+
+    def join(a, b):
+        return mix(a * _U(0xD6E8FEB86659FD93) + b)
+
+    x, width, out, covered = mix(h ^ _U(0x9E3779B97F4A7C15 * seed & 2**64 - 1)), 1, None, 0
+    while True:
+        if n & width:
+            y = x[covered : covered + total]
+            out = y if out is None else join(out, y)
+            covered += width
+        if 2 * width > n:
+            return out
+        x = join(x[:-width], x[width:])
+        width *= 2
+
+
 _gram = [pow(0xD6E8FEB86659FD93, k + 1, 1 << 64) for k in range(64)]
 
 

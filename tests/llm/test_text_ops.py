@@ -378,23 +378,114 @@ def substring_brute(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [4096, 8])
-def test_substrings(spark, docs, rows, block, monkeypatch):
-    monkeypatch.setattr(op7_substrings, "BLOCK_ROWS", block)
-    got = op7_substrings.substring_dedup(docs.withColumn("_block", F.lit(1)).withColumn("kept", F.lit(1))).collect()
+def check_substrings(got, rows):
+    """Rows against brute force, and each factor against the text of its source."""
     assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept"]) for r in got) == substring_brute(rows)
-    assert all(sum(s["words"] for s in r["spans"]) == r["n_removed"] for r in got)
+    texts = {}
+    for r in rows:
+        texts.setdefault(r[0], []).append(WORD.findall(r[1] or ""))
+    for r in got:
+        w = WORD.findall(r["text"] or "")
+        covered = set()
+        for f in r["factors"]:
+            a, n, d, o = f["start"], f["words"], f["source_id"], f["source_start"]
+            assert n >= 50 and d < r["doc_id"]
+            assert any(w[a : a + n] == t[o : o + n] for t in texts[d])
+            covered.update(range(a, a + n))
+        assert covered == {j for s in r["spans"] for j in range(s["start"], s["start"] + s["words"])}
+        assert len(covered) == r["n_removed"] == sum(s["words"] for s in r["spans"])
+
+
+@pytest.mark.parametrize("hot", [256, 3, 0])
+@pytest.mark.parametrize("block", [4 << 20, 2000])
+def test_substrings(spark, docs, rows, block, hot, monkeypatch):
+    monkeypatch.setattr(op7_substrings, "BLOCK_BYTES", block)
+    monkeypatch.setattr(op7_substrings, "HOT", hot)
+    monkeypatch.setattr(op7_substrings, "INDEX_WORDS", block // 4)
+    check_substrings(op7_substrings.substring_dedup(docs.withColumn("_block", F.lit(1)).withColumn("kept", F.lit(1))).collect(), rows)
     assert op7_substrings.substring_dedup(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [256, 5])
+def test_substrings_of_edited_copies(spark, hot, monkeypatch):
+    """Copies with edits, periodic texts, and factors whose boundaries meet."""
+    monkeypatch.setattr(op7_substrings, "HOT", hot)
+    monkeypatch.setattr(op7_substrings, "BLOCK_BYTES", 6000)
+    rng = random.Random(6)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    rows = []
+    for i in range(60):
+        words = list(base[rng.randrange(150) : 250 + rng.randrange(150)])
+        for _ in range(rng.randrange(5)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randrange(2)] = rng.choice([[], [f"x{rng.randrange(9)}"], base[40:100]])
+        rows.append((rng.randrange(50), " ".join(words)))
+    rows += [(60 + i, "a b c " * rng.randrange(10, 90)) for i in range(8)] + [(None, " ".join(base)), (1, None)]
+    check_substrings(op7_substrings.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect(), rows)
+
+
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() & 1] for i in range(n))
+
+
+def collisions():
+    """Texts that differ in one word, which a polynomial hash modulo 2**64 takes for the same."""
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for n in (16, 200, 1024, 2048, 4096):
+        x = thue_morse(n)
+        for y in (x, x.translate(str.maketrans("ab", "ba"))):
+            rows.append((len(rows), " ".join([*words[:29], f"n{n}", y, *words[29:]]), "en", "s", 1))
+    return rows
+
+
+def test_words_that_collide_in_polynomial_hashes(spark):
+    rows = collisions()
+    df = spark.createDataFrame(rows, SCHEMA)
+    check_substrings(op7_substrings.substring_dedup(df).collect(), rows)
+    got = op2_jaccard.jaccard_components(df).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got) == jaccard_brute(rows)
+    twice = [(i, a[1] + " " + b[1], "en", "s", 1) for i, (a, b) in enumerate(zip(rows[::2], rows[1::2]))]
+    for r in op10_quality.quality(spark.createDataFrame(twice, SCHEMA), spark.createDataFrame([], "doc_id long, quality int")).collect():
+        assert (r["n_words"], r["n_repeat_words"]) == (base_brute(r["text"])[0], base_brute(r["text"])[4])
+
+
+@pytest.mark.parametrize("symbols", [3, 9])
+def test_longest_matches(symbols):
+    """Factors of the suffix array against all pairs of positions."""
+    rng = random.Random(symbols)
+    for _ in range(12):
+        base = [rng.randrange(symbols) for _ in range(160)]
+        seqs = []
+        for _ in range(10):
+            a = rng.randrange(60)
+            s = base[a : a + rng.randrange(50, 100)]
+            for _ in range(rng.randrange(3)):
+                s[rng.randrange(len(s))] = rng.randrange(9)
+            seqs.append(s)
+        age = np.array([rng.randrange(8) for _ in seqs])
+        index = op7_substrings.SuffixArray(np.array(sum(seqs, [])), np.array([len(s) for s in seqs]))
+        got = dict(zip(*[x.tolist() for x in index.longest_before(age)[::2]]))
+        for c, s in enumerate(seqs):
+            for i in range(len(s) - 49):
+                best = 0
+                for d, u in enumerate(seqs):
+                    for j in range(len(u) - 49) if age[d] < age[c] else ():
+                        k = 0
+                        while i + k < len(s) and j + k < len(u) and s[i + k] == u[j + k]:
+                            k += 1
+                        best = max(best, k)
+                assert got.get(int(index.begin[c]) + i, 0) == (best if best >= 50 else 0)
+
+
 def test_substrings_block_in_two_tasks(spark, monkeypatch):
     stage = op7_substrings.stage
-    monkeypatch.setattr(op7_substrings, "stage", lambda df, name: stage(df, name).repartition(3, "doc_id"))
+    monkeypatch.setattr(op7_substrings, "stage", lambda df, name: stage(df, name).repartition(3, "doc_id") if "doc_id" in df.columns else stage(df, name))
     passage = [f"p{i}" for i in range(50)]
     rows = [(i, " ".join([f"w{i}x{j}" for j in range(60)] + passage * (i % 3 == 0))) for i in range(12)]
     got = op7_substrings.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()
     assert {r["doc_id"]: r["n_removed"] for r in got} == {i: 50 * (i % 3 == 0 and i > 0) for i in range(12)}
-    assert sorted((str(r["doc_id"]), r["n_words"], r["n_removed"], r["kept"]) for r in got) == substring_brute(rows)
+    check_substrings(got, rows)
 
 
 # -- 8 -----------------------------------------------------------------------
