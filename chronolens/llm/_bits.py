@@ -1,8 +1,8 @@
-"""Sets of 64-bit hashes as bit tables of fixed size, built by Spark.
+"""Sets of 64-bit hashes as bit tables, built by Spark.
 
-A table answers "maybe in the set" or "surely not".  Its size is a parameter,
-so it may be broadcast whatever the set's size; a full table only lets more
-rows through to the exact step that follows.
+A table answers "maybe in the set" or "surely not".  Its size goes by the number
+of hashes, up to 2**29 bits, so it may be broadcast whatever the set's size; a
+full table only lets more rows through to the exact step that follows.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-BITS = 26
 #: Parts of a table: places travel in packed rows, one for each task and part.
 PARTS = 64
 
@@ -23,7 +22,7 @@ def bits_for(n: int, least: int = 20, most: int = 29) -> int:
     return min(most, max(least, int(n).bit_length()))
 
 
-def places(h: np.ndarray, bits: int = BITS) -> np.ndarray:
+def places(h: np.ndarray, bits: int) -> np.ndarray:
     """Bit of each hash (int64 or uint64, already well mixed)."""
     return (np.ascontiguousarray(h).view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
 
@@ -32,7 +31,7 @@ def column(i: int = 0) -> Callable[[pa.RecordBatch], np.ndarray]:
     return lambda batch: batch.column(i).to_numpy(zero_copy_only=False)
 
 
-def build(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray] = column(), bits: int = BITS) -> np.ndarray:
+def build(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray] = column(), *, bits: int) -> np.ndarray:
     """The table of the hashes that ``hashes`` finds in each batch of ``df``."""
     size = 1 << bits
     each = size // PARTS
@@ -52,7 +51,7 @@ def build(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray] = column
             if len(h):
                 held.append(places(h, bits))
                 n += len(h)
-                if n > 2_000_000:
+                if n > 500_000:
                     yield flush()
                     held, n = [], 0
         if held:
@@ -76,7 +75,7 @@ def build(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray] = column
     return out
 
 
-def hit(table: np.ndarray, h: np.ndarray, bits: int = BITS) -> np.ndarray:
+def hit(table: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
     """Which hashes may be in the set."""
     at = places(h, bits)
     return ((table[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool)

@@ -4,15 +4,16 @@ A document's set holds its distinct 5-word shingles (A-Z lower-cased; the whole
 sequence if it has fewer words).  Two documents link when
 ``100 * |A & B| >= 75 * |A | B|``.  The result names each document's component.
 
-Copies are one class, known by 128 bits of the set.  Classes meet in tiles: a
-tile holds the classes that have one shingle among the rarest quarter of their
-sets, whatever their sizes; whether two sizes allow a link is tested pair by pair.
-Sets that reach the threshold must share such a shingle (prefix filter), so no
-link is lost.  Rarity is read from a table of counts of fixed size over the whole corpus;
-it only decides the order, never the result.
-
-Inside a tile each class is compared with the tile's hub (its least class), not
-with all others.  A pair is first bounded from above by the bit counts of hashed
+Copies are one class, known by 128 bits of the set.  Classes meet in tiles, one
+for each shingle and band of sizes: a tile holds the classes that have the shingle
+among the rarest quarter of their sets and whose sizes lie in its band or the
+next.  Bands grow by 4/3, the ratio of sizes up to which sets can link, and linked
+sets share such a shingle (prefix filter), so every link lies in a tile.  Rarity is
+read from a table of counts over the whole corpus; it only decides the order,
+never the result.
+
+Inside a tile each class is compared with the tile's hub (the least class of its
+own band), not with all others.  A pair is first bounded from above by the bit counts of hashed
 bitmaps, then its sorted arrays are intersected exactly.  Tiles whose classes then
 form one component are settled.  In the others, every pair from different
 components that size and position allow is compared as well; so all links
@@ -24,8 +25,9 @@ Defined results
   * equal sets are linked; repeated rows are documents of their own;
   * null ids: never the smallest of a component; a component of null ids only
     has a null component_id;
+  * very long texts are shingled whole; the width of a bitmap goes by the set's size;
   * extra columns are kept, columns with the result's names are replaced;
-  * shingles are compared by 64 bits of hash (48 in the intersection of a pair).
+  * shingles are compared by 64 bits of hash, copies by 128 bits of the set.
 """
 
 from __future__ import annotations
@@ -44,8 +46,11 @@ from ._words import grams, mix, slices, words_of
 SHINGLE = 5
 #: |A & B| >= 3/7 (|A| + |B|) is the threshold 0.75 in whole numbers.
 NUM, DEN = 3, 7
-#: Places of the table of shingle counts.
-COUNT_BITS = 21
+#: Places of the table of shingle counts: by the input's size, between these bounds.
+COUNT_BITS = (21, 24)
+#: Entries of a hash range, on average, and of what a task holds before it sends.
+RANGE_ENTRIES = 400_000
+HELD_ENTRIES = 300_000
 #: Places of one piece of it.
 PIECE_BITS = 14
 #: Longs of a bitmap signature.
@@ -77,6 +82,18 @@ def prefix_length(n):
     return n - (3 * n + 3) // 4 + 1
 
 
+#: Least size of each band: whole numbers that grow by 4/3, so that sets which can link lie in one band or two neighbours.
+BANDS = [1]
+while BANDS[-1] < 1 << 40:
+    BANDS.append(4 * BANDS[-1] // 3 + 1)
+BANDS = np.array(BANDS, np.int64)
+
+
+def band(n):
+    """Band of a size."""
+    return np.searchsorted(BANDS, n, "right") - 1
+
+
 def may_link(n1, n2):
     """Whether sizes allow a link: the smaller has 3/4 of the larger at least."""
     return 4 * np.minimum(n1, n2) >= 3 * np.maximum(n1, n2)
@@ -97,7 +114,14 @@ def signature(s: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
     return np.packbits(narrow).view(np.int64), np.packbits(odd).view(np.int64) if width > bits else None
 
 
-def describe(df: DataFrame, text: str, seed: int, names: list[str]) -> DataFrame:
+def count_bits(df: DataFrame) -> int:
+    """Bits of the count table, by Spark's estimate of the input's bytes."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    least, most = COUNT_BITS
+    return min(most, max(least, (size // 256).bit_length()))
+
+
+def describe(df: DataFrame, text: str, seed: int, names: list[str], bits: int) -> DataFrame:
     """Each row's size and class, and pieces of the count table, staged.
 
     ``names``: columns for size, two halves of the class, place and counts.  Rows
@@ -112,11 +136,11 @@ def describe(df: DataFrame, text: str, seed: int, names: list[str]) -> DataFrame
     types = [to_arrow_type(f.dataType) for f in carried]
 
     def run(batches):
-        table = np.zeros(1 << COUNT_BITS, np.uint32)
+        table = np.zeros(1 << bits, np.uint32)
         for batch in batches:
             for part, raw, offsets in slices(batch, text):
                 found = sets_of(raw, offsets, seed)
-                np.add.at(table, (np.concatenate(found) >> _U(64 - COUNT_BITS)).astype(np.int64), 1)
+                np.add.at(table, (np.concatenate(found) >> _U(64 - bits)).astype(np.int64), 1)
                 classes = [class_of(s) if len(s) else (None, None) for s in found]
                 n = part.num_rows
                 made = [
@@ -129,7 +153,7 @@ def describe(df: DataFrame, text: str, seed: int, names: list[str]) -> DataFrame
                 yield pa.RecordBatch.from_arrays([*[part.column(part.schema.get_field_index(f.name)) for f in carried], *made], names=labels)
         step = 1 << PIECE_BITS
         blank = [pa.nulls(1, t) for t in types] + [pa.nulls(1, pa.int64())] * 3
-        for k in range(0, 1 << COUNT_BITS, step):
+        for k in range(0, 1 << bits, step):
             t = table[k : k + step]
             if t.any():
                 small = np.minimum(t, 65535).astype(np.uint16)
@@ -138,7 +162,7 @@ def describe(df: DataFrame, text: str, seed: int, names: list[str]) -> DataFrame
     return stage(df.mapInArrow(run, T.StructType(fields)), "jaccard")
 
 
-def ranks(described: DataFrame, place: str, counts: str) -> np.ndarray:
+def ranks(described: DataFrame, place: str, counts: str, bits: int) -> np.ndarray:
     """Rarity rank of each table place: a byte that grows with the count."""
 
     def add(batches):
@@ -151,7 +175,7 @@ def ranks(described: DataFrame, place: str, counts: str) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([rank.tobytes()])], names=["k", "r"])
 
     parts = described.where(F.col(place).isNotNull()).select(place, counts)
-    out = np.zeros(1 << COUNT_BITS, np.uint8)
+    out = np.zeros(1 << bits, np.uint8)
     for r in parts.repartition(F.col(place)).mapInArrow(add, "k int, r binary").collect():  # fixed size
         out[r["k"] : r["k"] + (1 << PIECE_BITS)] = np.frombuffer(r["r"], np.uint8)
     return out
@@ -163,10 +187,11 @@ _KEY = np.dtype([("key", "<u4"), ("more", "u1"), ("node", "<i8"), ("n", "<u4"),
 
 def keys(df: DataFrame, text: str, seed: int, rank: np.ndarray, ranges: int) -> DataFrame:
     """(range, entries): prefix shingles of each class, once for each task."""
-    sent = df.sparkSession.sparkContext.broadcast(rank)  # 2**COUNT_BITS bytes
+    sent = df.sparkSession.sparkContext.broadcast(rank)  # 16 MB at most
 
     def run(batches):
         table = sent.value
+        shift = _U(65 - len(table).bit_length())
         seen: set[int] = set()
         held: list[np.ndarray] = []
         goes: list[np.ndarray] = []
@@ -193,7 +218,7 @@ def keys(df: DataFrame, text: str, seed: int, rank: np.ndarray, ranges: int) ->
                         continue
                     seen.add(c)
                     p = prefix_length(n)
-                    r = table[(s >> _U(64 - COUNT_BITS)).astype(np.int64)]
+                    r = table[(s >> shift).astype(np.int64)]
                     order = np.argsort(r, kind="stable")[:p]  # by (rank, hash): s is sorted
                     x = np.empty(p, _KEY)
                     h = mix(s[order])  # 40 bits tell shingles of a range apart, 24 others choose the range
@@ -204,7 +229,7 @@ def keys(df: DataFrame, text: str, seed: int, rank: np.ndarray, ranges: int) ->
                     x["q"] = np.arange(p) * 255 // n
                     held.append(x)
                     size += p
-                if size > 4_000_000:
+                if size > HELD_ENTRIES:
                     yield flush()
                     held, goes, size = [], [], 0
         if held:
@@ -229,34 +254,43 @@ def tiles(dealt: DataFrame) -> DataFrame:
     """Of each range: pairs (hub, other) and the tiles of three classes or more.
 
     Rows: (k, pairs binary, tiles binary): pairs as int64 couples; tiles as _TILE
-    entries whose ``tile`` counts tiles in the range, the hub first in each.
+    entries whose ``tile`` counts tiles in the range; a tile's own band comes
+    first, the hub at its head, then the next band.
     """
 
     def work(k, blobs):
         x = np.concatenate([np.frombuffer(b, _KEY) for b in blobs])
         key = x["key"].astype(np.int64) << 8 | x["more"]
-        order = np.lexsort((x["node"], key))
+        order = np.lexsort((x["node"], band(x["n"]), key))
         x, key = x[order], key[order]
         new = np.ones(len(x), bool)
         new[1:] = (key[1:] != key[:-1]) | (x["node"][1:] != x["node"][:-1])
         x, key = x[new], key[new]
-        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        count = np.diff(np.append(begin, len(x)))
+        size = band(x["n"])
+        begin = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (size[1:] != size[:-1])]))
+        own = np.diff(np.append(begin, len(x)))
+        more = np.zeros(len(begin), bool)
+        more[:-1] = (key[begin[1:]] == key[begin[:-1]]) & (size[begin[1:]] == size[begin[:-1]] + 1)
+        count = own + np.where(more, np.append(own[1:], 0), 0)
         pairs = []
         two = begin[count == 2]
         a, b = x[two], x[two + 1]
         ok = may_link(a["n"].astype(np.int64), b["n"].astype(np.int64)) & position_allows(a["n"], a["q"], b["n"], b["q"])
-        pairs.append(np.stack([a["node"][ok], b["node"][ok]], 1))
+        p = np.stack([a["node"][ok], b["node"][ok]], 1)
+        p.sort(axis=1)
+        pairs.append(p)
         big = np.flatnonzero(count >= 3)
         kept = []
         if len(big):
             tile = np.repeat(np.arange(len(big)), count[big])
             at = np.repeat(begin[big], count[big]) + (np.arange(len(tile)) - np.repeat(np.cumsum(count[big]) - count[big], count[big]))
             m = x[at]
-            hub = x[np.repeat(begin[big], count[big])]  # the least class: nodes are sorted
+            hub = x[np.repeat(begin[big], count[big])]  # the least class of its band: nodes are sorted
             other = m["node"] != hub["node"]
             near = other & may_link(m["n"].astype(np.int64), hub["n"].astype(np.int64))
-            pairs.append(np.stack([hub["node"][near], m["node"][near]], 1))
+            p = np.stack([hub["node"][near], m["node"][near]], 1)
+            p.sort(axis=1)
+            pairs.append(p)
             y = np.empty(len(m), _TILE)
             y["tile"], y["node"], y["n"], y["q"] = tile, m["node"], m["n"], m["q"]
             kept.append(y)
@@ -300,7 +334,7 @@ def _table(blobs: list[bytes], width: int) -> np.ndarray:
     return np.concatenate([np.frombuffer(b, np.int64).reshape(-1, width) for b in blobs]) if blobs else np.zeros((0, width), np.int64)
 
 
-def _by_range(dealt: DataFrame, ranges: int, work, schema: str) -> DataFrame:
+def _by_range(dealt: DataFrame, work, schema: str) -> DataFrame:
     """``work(rows of kind 0, rows of kind 1)`` for each range; packed rows in."""
 
     def run(batches):
@@ -315,7 +349,8 @@ def _by_range(dealt: DataFrame, ranges: int, work, schema: str) -> DataFrame:
         if now is not None:
             yield from work(*held)
 
-    return dealt.repartition(ranges, "k").sortWithinPartitions("k").mapInArrow(run, schema)
+    tasks = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return dealt.repartition(tasks, "k").sortWithinPartitions("k").mapInArrow(run, schema)
 
 
 def least_hubs(found: DataFrame, ranges: int) -> DataFrame:
@@ -336,7 +371,7 @@ def least_hubs(found: DataFrame, ranges: int) -> DataFrame:
         p = least(_table(blobs, 2))
         yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], names=["a", "b"])
 
-    return _by_range(found.select("pairs").mapInArrow(deal, _DEALT), ranges, once, "a long, b long")
+    return _by_range(found.select("pairs").mapInArrow(deal, _DEALT), once, "a long, b long")
 
 
 def pairs_apart(found: DataFrame, labels: DataFrame, ranges: int) -> DataFrame:
@@ -376,13 +411,13 @@ def pairs_apart(found: DataFrame, labels: DataFrame, ranges: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], names=["a", "b"])
 
     known = labels.select("node", "label").mapInArrow(pack, _DEALT)
-    half = _by_range(found.select("pairs").mapInArrow(deal, _DEALT).union(known), ranges, first, _DEALT)
-    return _by_range(half.union(known), ranges, second, "a long, b long")
+    half = _by_range(found.select("pairs").mapInArrow(deal, _DEALT).union(known), first, _DEALT)
+    return _by_range(half.union(known), second, "a long, b long")
 
 
 def class_arrays(df: DataFrame, text: str, seed: int, wanted: np.ndarray) -> DataFrame:
     """(node, n, sig, wide, arr) of the classes that may be in a pair, staged."""
-    sent = df.sparkSession.sparkContext.broadcast(wanted)  # 2**BITS / 8 bytes
+    sent = df.sparkSession.sparkContext.broadcast(wanted)  # 64 MB at most
 
     def run(batches):
         table = sent.value
@@ -394,7 +429,7 @@ def class_arrays(df: DataFrame, text: str, seed: int, wanted: np.ndarray) -> Dat
                     if not len(s):
                         continue
                     c = class_of(s)[0]
-                    if c in seen or not _bits.hit(table, np.array([c], np.int64))[0]:
+                    if c in seen or not _bits.hit(table, np.array([c], np.int64), (8 * len(table)).bit_length() - 1)[0]:
                         continue
                     seen.add(c)
                     out[0].append(c)
@@ -402,8 +437,7 @@ def class_arrays(df: DataFrame, text: str, seed: int, wanted: np.ndarray) -> Dat
                     narrow, wide = signature(s)
                     out[2].append(narrow)
                     out[3].append(wide)
-                    top = s >> _U(16)
-                    out[4].append(top.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes())
+                    out[4].append(s.tobytes())
                 if out[0]:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), *[pa.array(x, pa.list_(pa.int64())) for x in out[2:4]], pa.array(out[4], pa.binary())],
@@ -413,12 +447,6 @@ def class_arrays(df: DataFrame, text: str, seed: int, wanted: np.ndarray) -> Dat
     return stage(df.select(text).mapInArrow(run, "node long, n long, sig array<long>, wide array<long>, arr binary"), "arrays")
 
 
-def _array(b: bytes) -> np.ndarray:
-    x = np.zeros((len(b) // 6, 8), np.uint8)
-    x[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
-    return x.view("<u8").ravel()
-
-
 def verify(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     """The pairs (a, b) that link: bit counts first, then exact intersection."""
 
@@ -448,13 +476,15 @@ def verify(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     large = large.where((F.size("x") != F.size("y")) | (F.col("na") + F.col("nb") >= DEN * unequal("x", "y")))
     near = stage(near.where(F.least("na", "nb") <= WIDE).select("a", "b").union(large.select("a", "b")), "near")
 
+    bits = _bits.bits_for(16 * near.count())
+
     def blocks(c: str) -> DataFrame:
         """Arrays of the classes on one side of the pairs: others stay unmoved."""
-        bits = arrays.sparkSession.sparkContext.broadcast(_bits.build(near.select(c)))  # 2**BITS / 8 bytes
+        table = arrays.sparkSession.sparkContext.broadcast(_bits.build(near.select(c), bits=bits))  # 64 MB at most
 
         def keep(batches):
             for batch in batches:
-                yield batch.filter(pa.array(_bits.hit(bits.value, batch.column(0).to_numpy(zero_copy_only=False))))
+                yield batch.filter(pa.array(_bits.hit(table.value, batch.column(0).to_numpy(zero_copy_only=False), bits)))
 
         some = arrays.select("node", "arr").mapInArrow(keep, "node long, arr binary")
         return some.groupBy("node").agg(F.first("arr").alias("arr" + c)).withColumnRenamed("node", c)
@@ -468,11 +498,9 @@ def verify(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
             a = batch.column(0).to_pylist()
             for i, (m, s, t) in enumerate(zip(a, batch.column(2), batch.column(3))):
                 if m != last:
-                    last, x = m, _array(s.as_py())
-                y = _array(t.as_py())
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
+                    last, x = m, np.frombuffer(s.as_py(), np.uint64)
+                y = np.frombuffer(t.as_py(), np.uint64)
+                common = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())  # both sorted, no value twice
                 ok.append(DEN * common >= NUM * (len(x) + len(y)))
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
@@ -491,8 +519,9 @@ def open_pairs(found: DataFrame, apart: DataFrame, labels: DataFrame, arrays: Da
     steps (``apart`` has such pairs).  Only those tiles' members are listed one
     by one.
     """
-    bits = _bits.build(apart.select("a", "b"), lambda x: pair_hash(*[c.to_numpy(zero_copy_only=False) for c in x.columns]))
-    sent = found.sparkSession.sparkContext.broadcast(bits)  # 2**BITS / 8 bytes
+    bits = _bits.bits_for(16 * apart.count())
+    table = _bits.build(apart.select("a", "b"), lambda x: pair_hash(*[c.to_numpy(zero_copy_only=False) for c in x.columns]), bits=bits)
+    sent = found.sparkSession.sparkContext.broadcast(table)  # 64 MB at most
 
     def members(batches):
         table = sent.value
@@ -504,22 +533,24 @@ def open_pairs(found: DataFrame, apart: DataFrame, labels: DataFrame, arrays: Da
                 begin = np.flatnonzero(np.concatenate([[True], x["tile"][1:] != x["tile"][:-1]]))
                 count = np.diff(np.append(begin, len(x)))
                 hub = np.repeat(x[begin], count)
-                unsettled = _bits.hit(table, pair_hash(hub["node"], x["node"]))
+                ends = np.sort(np.stack([hub["node"], x["node"]], 1), axis=1)
+                unsettled = _bits.hit(table, pair_hash(ends[:, 0].copy(), ends[:, 1].copy()), bits)
                 unsettled |= ~may_link(hub["n"].astype(np.int64), x["n"].astype(np.int64))
                 unsettled &= hub["node"] != x["node"]
-                x = x[np.repeat(np.add.reduceat(unsettled.astype(np.int64), begin) > 0, count)]
+                open_ = np.repeat(np.add.reduceat(unsettled.astype(np.int64), begin) > 0, count)
+                x, own = x[open_], (band(x["n"]) == band(hub["n"]))[open_]
                 columns = [np.full(len(x), k, np.int32), x["tile"].astype(np.int64), np.ascontiguousarray(x["node"]), x["n"].astype(np.int64)]
                 place = least_position(x["n"], x["q"])
-                yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in columns], pa.array(place)], names=["k", "t", "node", "n", "p"])
+                yield pa.RecordBatch.from_arrays([*[pa.array(c) for c in columns], pa.array(place), pa.array(own.astype(np.int64))], names=["k", "t", "node", "n", "p", "own"])
 
-    rows = found.select("k", "tiles").mapInArrow(members, "k int, t long, node long, n long, p long")
+    rows = found.select("k", "tiles").mapInArrow(members, "k int, t long, node long, n long, p long, own long")
     rows = rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     rows = stage(rows.join(arrays.select("node", "sig").dropDuplicates(["node"]), "node"), "members")
     # a large tile is cut into blocks; each pair of blocks is a tile of its own
     counts = rows.groupBy("k", "t").agg(F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("g"), F.count_distinct("label").alias("l"))
     cut = rows.join(counts.where("l > 1"), ["k", "t"]).withColumn("i", F.pmod(F.xxhash64("node"), "g").cast("int"))
     cut = cut.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    cut = cut.select("k", "t", F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v"), F.col("i").alias("w"), "node", "n", "p", "label", "sig")
+    cut = cut.select("k", "t", F.least("i", "j").alias("u"), F.greatest("i", "j").alias("v"), F.col("i").alias("w"), "node", "n", "p", "label", "own", "sig")
     dealt = cut.repartition("k", "t", "u", "v").sortWithinPartitions("k", "t", "u", "v")
     return dealt.mapInArrow(_compare_tiles, "a long, b long").distinct().join(apart, ["a", "b"], "left_anti")
 
@@ -536,12 +567,11 @@ def _compare_tiles(batches):
     """
 
     def compare(x):
-        w, node, n, p, label, sig = x
-        order = np.argsort(n, kind="stable")
-        w, node, n, p, label, sig = w[order], node[order], n[order], p[order], label[order], sig[order]
-        mixed = w[0] != w[-1] or (w != w[0]).any()
+        order = np.argsort(x[2], kind="stable")
+        w, node, n, p, label, own, sig = [c[order] for c in x]
+        mixed = (w != w[0]).any()
         out = []
-        for i in range(len(n)):
+        for i in np.flatnonzero(own).tolist():  # pairs of the next band lie in that band's tile
             to = np.searchsorted(n, 4 * n[i] // 3, "right")  # sizes that allow a link
             j = np.arange(i + 1, to)
             if not len(j):
@@ -576,7 +606,7 @@ def _compare_tiles(batches):
         c = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
         key = np.stack([c[x].to_numpy(zero_copy_only=False).astype(np.int64) for x in ("k", "t", "u", "v")], 1)
         sig = c["sig"].flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(batch.num_rows, -1)  # bits, not signs
-        data = [c[x].to_numpy(zero_copy_only=False).astype(np.int64) for x in ("w", "node", "n", "p", "label")]
+        data = [c[x].to_numpy(zero_copy_only=False).astype(np.int64) for x in ("w", "node", "n", "p", "label", "own")]
         begin = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(1)]))
         for a, z in zip(begin, [*begin[1:], len(key)]):
             k = tuple(key[a].tolist())
@@ -610,12 +640,12 @@ def _components(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     df = df.drop(*[c for c in df.columns if c.lower() in ("n_shingles", "component_id")])
     names = fresh(df, "_n", "_c1", "_c2", "_place", "_counts")
     size, c1, c2, place, counts = names
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tasks, bits = int(spark.conf.get("spark.sql.shuffle.partitions")), count_bits(df)
 
     for seed in range(8):
-        described = describe(df, text, seed, names)
+        described = describe(df, text, seed, names, bits)
         docs = described.where(F.col(place).isNull()).drop(place, counts)
-        classes = docs.where(F.col(size) > 0).groupBy(c1, c2).agg(F.min(doc_id).alias("_least"))
+        classes = docs.where(F.col(size) > 0).groupBy(c1, c2).agg(F.min(doc_id).alias("_least"), F.max(size).alias("_size"))
         classes = stage(classes, "classes")
         # a class goes by the first half of its 128 bits; if two share it, hash anew
         if classes.groupBy(c1).count().where("count > 1").isEmpty():
@@ -623,15 +653,17 @@ def _components(df: DataFrame, doc_id: str, text: str) -> DataFrame:
     else:
         raise RuntimeError("hashes of sets collide")
 
-    rank = ranks(described, place, counts)
-    dealt = keys(df, text, seed, rank, ranges).repartition(ranges, "k").sortWithinPartitions("k")
+    rank = ranks(described, place, counts, bits)
+    known = classes.agg(F.count("*").alias("n"), F.sum(F.expr("_size - (3 * _size + 3) div 4 + 1")).alias("entries")).first()
+    ranges = min(1 << 22, max(tasks, (known["entries"] or 0) // RANGE_ENTRIES))
+    dealt = keys(df, text, seed, rank, ranges).repartition(tasks, "k").sortWithinPartitions("k")
     found = stage(tiles(dealt), "tiles")
 
     def nodes(batch):
         x = [np.frombuffer(p, np.int64) for p in batch.column(0).to_pylist()]
         return np.concatenate([*x, *[np.frombuffer(t, _TILE)["node"] for t in batch.column(1).to_pylist()]])
 
-    arrays = class_arrays(df, text, seed, _bits.build(found.select("pairs", "tiles"), nodes))
+    arrays = class_arrays(df, text, seed, _bits.build(found.select("pairs", "tiles"), nodes, bits=_bits.bits_for(16 * known["n"])))
     # each class with its least hub; then what those links leave apart
     links = verify(stage(least_hubs(found, ranges), "pairs"), arrays)
     labels = stage(components(links), "labels")
@@ -663,19 +695,20 @@ def drop_ids(df: DataFrame, gone: DataFrame, doc_id: str = "doc_id") -> DataFram
     texts, are shuffled to the exact anti-join.  Rows without an id stay.
     """
     name = gone.columns[0]
+    size = _bits.bits_for(16 * gone.count())
 
     def hashes(ids: pa.Array) -> np.ndarray:
         return mix(np.asarray(ids.fill_null(0).to_numpy(zero_copy_only=False), np.int64).view(np.uint64))
 
-    bits = _bits.build(gone.where(F.col(name).isNotNull()).select(F.col(name).cast("long")), lambda batch: hashes(batch.column(0)))
-    sent = df.sparkSession.sparkContext.broadcast(bits)  # 2**BITS / 8 bytes
+    bits = _bits.build(gone.where(F.col(name).isNotNull()).select(F.col(name).cast("long")), lambda batch: hashes(batch.column(0)), bits=size)
+    sent = df.sparkSession.sparkContext.broadcast(bits)  # 64 MB at most
     at = df.columns.index(doc_id)
 
     def pick(hit: bool):
         def run(batches):
             for batch in batches:
                 ids = batch.column(at)
-                found = _bits.hit(sent.value, hashes(ids)) & np.asarray(ids.is_valid().to_numpy(zero_copy_only=False), bool)
+                found = _bits.hit(sent.value, hashes(ids), size) & np.asarray(ids.is_valid().to_numpy(zero_copy_only=False), bool)
                 yield batch.filter(pa.array(found == hit))
 
         return df.mapInArrow(run, df.schema)

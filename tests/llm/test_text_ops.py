@@ -188,6 +188,27 @@ def test_jaccard_bounds():
                     assert unequal <= len(np.setxor1d(x, y))
 
 
+def test_bands_hold_all_sizes_that_may_link():
+    n = np.arange(1, 5000)
+    for x in (1, 2, 3, 4, 7, 50, 51, 1234, 4000):
+        near = op2_jaccard.may_link(n, x)
+        assert np.abs(op2_jaccard.band(n[near]) - op2_jaccard.band(x)).max() <= 1
+
+
+def test_jaccard_hot_shingle(spark, monkeypatch):
+    """One run of words in most texts, of many sizes, in more ranges than tasks."""
+    monkeypatch.setattr(op2_jaccard, "RANGE_ENTRIES", 40)
+    monkeypatch.setattr(op2_jaccard, "HELD_ENTRIES", 50)
+    monkeypatch.setattr(op2_jaccard, "TILE_ROWS", 8)
+    rng = random.Random(11)
+    hot = [f"h{i}" for i in range(12)]
+    rows = []
+    for i in range(150):
+        rows.append((i, " ".join(hot + [f"w{rng.randrange(60)}" for _ in range(rng.randrange(9))]), "en", "s", 1))
+    got = op2_jaccard.jaccard_components(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    assert sorted((str(r["doc_id"]), r["n_shingles"], str(r["component_id"])) for r in got.collect()) == jaccard_brute(rows)
+
+
 def test_jaccard_large_sets(spark):
     """Sets beyond the narrow bitmaps, in bands of different widths, near the threshold."""
     rng = random.Random(9)
