@@ -58,19 +58,25 @@ def build(df: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray] = column
             yield flush()
 
     def join(batches):
-        parts: dict[int, np.ndarray] = {}
+        now, t = None, np.zeros(each, np.uint8)
+
+        def packed():
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([np.packbits(t, bitorder="little").tobytes()])], names=["k", "p"])
+
         for batch in batches:
             for k, p in zip(*[c.to_pylist() for c in batch.columns]):
-                t = parts.get(k)
-                if t is None:
-                    t = parts[k] = np.zeros(each, np.uint8)
+                if k != now:
+                    if now is not None:
+                        yield packed()
+                    now = k
+                    t[:] = 0
                 t[np.frombuffer(p, np.int32)] = 1
-        for k, t in parts.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.packbits(t, bitorder="little").tobytes()])], names=["k", "p"])
+        if now is not None:
+            yield packed()
 
     schema = "k int, p binary"
     out = np.zeros(size // 8, np.uint8)
-    for r in df.mapInArrow(find, schema).repartition(PARTS, "k").mapInArrow(join, schema).collect():  # size / 8 bytes in all
+    for r in df.mapInArrow(find, schema).repartition("k").sortWithinPartitions("k").mapInArrow(join, schema).collect():  # size / 8 bytes in all
         out[r["k"] * each // 8 : (r["k"] + 1) * each // 8] = np.frombuffer(r["p"], np.uint8)
     return out
 
