@@ -572,6 +572,58 @@ def test_html_names_inside_the_article():
     assert op8_html.extract(f"<article><p>{LONG}</p></article><article class=comment><p>{LONG * 2}</p></article>") == LONG.strip()
 
 
+def test_html_ratios_by_brute_force():
+    """Each block's fused ratio, computed from the page's definition."""
+    import math
+
+    rng = random.Random(3)
+    for _ in range(20):
+        parts = []
+        for _ in range(rng.randrange(2, 12)):
+            tag = rng.choice(["p", "li", "div", "h2", "section"])
+            parts.append((tag, " ".join(rng.choice(["word", "and,", "end.", "x"]) for _ in range(rng.randrange(1, 40)))))
+        found = op8_html.blocks("".join(f"<{t}>{x}</{t}>" for t, x in parts))
+        assert [t for _, t, _ in found] == [x for _, x in parts]
+        mean = lambda tag, f: sum(f(x) for t, x in parts if t == tag) / sum(t == tag for t, _ in parts)
+        length = [mean(t, len) for t, _ in parts]
+        marks = [mean(t, lambda x: x.count(",") + x.count(".")) for t, _ in parts]
+        g = [math.exp(-0.5), 1.0, math.exp(-0.5)]
+        got = op8_html.scores(found)
+        for i in range(len(parts)):
+            around = [max(0, i - 1), i, min(len(parts) - 1, i + 1)]
+            a, b = [sum(w * v[j] for w, j in zip(g, around)) / sum(g) for v in (length, marks)]
+            assert got[i] == pytest.approx(min(a * math.log(1.1 + b), length[i] * math.log(1.1 + marks[i])))
+
+
+def test_html_ratios_decide_every_page(monkeypatch):
+    page = PAGE % ("article", "article")
+    monkeypatch.setattr(op8_html, "scores", lambda found: [1.0] * len(found))
+    assert op8_html.extract(page) != WANT
+
+
+@pytest.mark.parametrize("tag", ["article", "div"])
+def test_html_names_that_mislead(tag):
+    inner = f'<h1>T</h1><div class="more"><p>{LONG}</p></div><section class="discussion"><p>{LONG}</p></section><p id="follow">Follow the river, it says.</p>'
+    page = f'<nav><a href=/>a</a></nav><{tag} class="sidebar">{inner}</{tag}><footer>bye</footer>'
+    assert op8_html.extract(page).split("\n\n") == ["T", LONG.strip(), LONG.strip(), "Follow the river, it says."]
+    table = f"<table><tr><td><a>go home</a><td>{LONG}<tr><td><a>go home</a><td>{LONG}</table>"
+    assert op8_html.extract(table).split("\n\n") == [LONG.strip(), LONG.strip()]
+
+
+def test_html_letters_that_change_length():
+    assert op8_html.extract(f"<p>\u0130</p><SCRIPT>var a = '<p>'</SCRIPT><article><p>{LONG}</p></article>") == LONG.strip()
+
+
+def test_html_deep_pages_take_linear_memory():
+    import tracemalloc
+
+    page = f"<article><p>{LONG}</p></article>" + "<div>" * 20000 + "x" + "</i>" * 20000
+    tracemalloc.start()
+    assert op8_html.extract(page) == LONG.strip()
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
+
+
 def test_html_odd(spark):
     odd = {None: "", "": "", "   ": "", "<p>": "", "plain words, only.": "plain words, only.", "<p>a<p>b": "a\n\nb", "<article><p>x &#0; <": "x \ufffd <"}
     odd["<article><p>" + "long, text. " * 20000] = ("long, text. " * 20000).strip()
