@@ -1,8 +1,10 @@
 """Shared folders and staged tables.
 
 Intermediate tables are written below the folder that the cluster names in
-``spark.checkpoint.dir``, which every executor and the driver can reach.  Only
-where that setting is absent (local tests) a folder of this process is used.
+``spark.checkpoint.dir``, which every executor and the driver can reach.  Only in
+local mode a folder of this process is used where that setting is absent; on a
+cluster its absence is an error.  What a process has left there when it ends is
+removed.
 """
 
 from __future__ import annotations
@@ -21,10 +23,13 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is set."""
+    """The cluster's shared folder; a temporary one only in local mode without any."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         return base.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="chronolens-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
@@ -34,8 +39,20 @@ def shared_dir(spark: SparkSession) -> str:
 _scope: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scope", default=None)
 
 
+_paths: set[str] = set()
+
+
+def _clear(spark: SparkSession) -> None:
+    """At the end of the process: a session that has gone already can delete nothing."""
+    with contextlib.suppress(Exception):
+        remove(spark, list(_paths))
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _paths:
+        atexit.register(_clear, spark)
+    _paths.add(path)
     made = _scope.get()
     if made is not None:
         made.append(path)
@@ -59,6 +76,7 @@ def remove(spark: SparkSession, paths: Iterable[str]) -> None:
     for p in paths:
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(conf).delete(path, True)
+        _paths.discard(p)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

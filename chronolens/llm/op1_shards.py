@@ -1,19 +1,21 @@
 """Sharding: a uniform shuffle into shards of exact size.
 
 A hypergeometric communication matrix says how many rows each source partition
-sends to each slot range of each shard.  Row sums are the partitions' sizes,
-column sums the ranges' exact sizes, and the matrix has the law that a uniform
-permutation of all rows would give it.  Every partition permutes its rows and
-deals them out by its row of the matrix; after the exchange every range permutes
-its rows again, which gives the slots.
+sends to each shard.  Row sums are the partitions' sizes, column sums the shards'
+exact sizes, and the matrix has the law that a uniform permutation of all rows
+would give it.  Every partition permutes its rows and deals them out by its row of
+the matrix; after the exchange every shard permutes its rows again, in ranges of a
+random key, which gives the slots.
 
 No matrix is ever held: a task draws only its own row, going down a binary tree
-over the partitions whose nodes have fixed seeds, so each task (and each retry)
-finds the same numbers.  What is broadcast is one count for a partition.
+over the partitions whose nodes have fixed seeds of their own, so each task (and
+each retry) finds the same numbers.  What is broadcast is one count for a
+partition.  Ranges hold about RANGE_BYTES, whatever the rows' sizes.
 
 Defined results
   * null ids or texts are rows like any other; repeated rows are dealt out one
     by one; extra columns are kept; helper columns take names that do not clash;
+  * very long texts weigh like any other row: sizes are counts of rows;
   * an empty table gives an empty result with all columns;
   * shard sizes differ by at most one; the first ``rows mod shards`` are larger;
   * slots of a shard are 0 .. size - 1, each once;
@@ -29,11 +31,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import fresh, new_path
+from ._store import fresh, stage
 
 SHARDS = 16
-#: Rows of a slot range: the unit of the second permutation.
-RANGE_ROWS = 20_000
+#: Bytes of a slot range: the unit of the second permutation.
+RANGE_BYTES = 4 << 20
 
 #: NumPy's sampler takes populations below this.
 _NUMPY_MAX = 10**9
@@ -82,7 +84,7 @@ def matrix_row(seed: int, counts: np.ndarray, cells: np.ndarray, row: int) -> np
     cells = cells.astype(np.int64)
     while hi - lo > 1:
         mid = (lo + hi) // 2
-        rng = np.random.Generator(np.random.PCG64([seed, lo, hi]))
+        rng = np.random.Generator(np.random.PCG64([seed, 0, lo, hi]))
         left = split_counts(rng, cells, int(ends[mid] - ends[lo]))
         if row < mid:
             cells, hi = left, mid
@@ -91,11 +93,20 @@ def matrix_row(seed: int, counts: np.ndarray, cells: np.ndarray, row: int) -> np
     return cells
 
 
+def deal_rows(seed: int, counts: np.ndarray, sizes: np.ndarray, i: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shard and order key of each row of partition i: its local permutation."""
+    rng = np.random.Generator(np.random.PCG64([seed, 1, i]))
+    mine = matrix_row(seed, counts, sizes, i)
+    labels = np.repeat(np.arange(len(mine), dtype=np.int32), mine)
+    rng.shuffle(labels)
+    return labels, rng.integers(0, 2**63 - 1, len(labels), dtype=np.int64, endpoint=True)
+
+
 def shard(
     df: DataFrame,
     shards: int = SHARDS,
     seed: int = 0,
-    range_rows: int = RANGE_ROWS,
+    range_bytes: int = RANGE_BYTES,
 ) -> DataFrame:
     """``df`` with ``shard`` (int) and ``slot`` (long), uniformly shuffled.
 
@@ -107,12 +118,10 @@ def shard(
     spark = df.sparkSession
     drop = [c for c in df.columns if c.lower() in ("shard", "slot")]
     df = df.drop(*drop)
-    part, row, dealt, key = fresh(df, "_part", "_row", "_range", "_key")
-    path = new_path(spark, "shards")
+    part, row, rank, key, offset = fresh(df, "_part", "_row", "_range", "_key", "_offset")
     numbered = df.withColumn(row, F.monotonically_increasing_id())
     numbered = numbered.withColumn(part, F.shiftright(row, 33).cast("int"))
-    numbered.withColumn(row, F.col(row).bitwiseAND((1 << 33) - 1)).write.parquet(path)
-    staged = spark.read.schema(T.StructType([*df.schema.fields, T.StructField(row, T.LongType()), T.StructField(part, T.IntegerType())])).parquet(path)
+    staged = stage(numbered.withColumn(row, F.col(row).bitwiseAND((1 << 33) - 1)), "shards")
 
     counted = {r[0]: r[1] for r in staged.groupBy(part).count().toLocalIterator()}
     names = np.array(sorted(counted), np.int64)
@@ -120,18 +129,12 @@ def shard(
     total = int(counts.sum())
     sizes = np.full(shards, total // shards, np.int64)
     sizes[: total % shards] += 1
-    per = max(1, -(-(total // shards + 1) // range_rows))
-    cells = np.empty((shards, per), np.int64)
-    for s in range(shards):
-        cells[s] = np.diff(np.arange(per + 1, dtype=np.int64) * int(sizes[s]) // per)
-    begin = np.cumsum(cells, 1) - cells
-    flat, begin = cells.ravel(), begin.ravel()
-    sent = spark.sparkContext.broadcast((names, counts, flat))  # 16 bytes a partition, 8 a range
-
-    fields = [*df.schema.fields, T.StructField(row, T.LongType()), T.StructField(dealt, T.IntegerType()), T.StructField(key, T.LongType())]
+    size = int(str(staged._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))  # of its files
+    ranges = max(1, min(-(-size // shards // range_bytes), total // shards))
+    sent = spark.sparkContext.broadcast((names, counts, sizes))  # 16 bytes a partition
 
     def deal(batches):
-        names, counts, cells = sent.value
+        names, counts, sizes = sent.value
         at, labels, keys = None, None, None
         for batch in batches:
             parts = batch.column(batch.schema.get_field_index(part)).to_numpy(zero_copy_only=False)
@@ -139,30 +142,27 @@ def shard(
             label, order = np.empty(len(rows), np.int32), np.empty(len(rows), np.int64)
             for p in np.unique(parts):
                 if p != at:
-                    i = int(np.searchsorted(names, p))
-                    rng = np.random.Generator(np.random.PCG64([seed, 1, i]))
-                    mine = matrix_row(seed, counts, cells, i)
-                    labels = np.repeat(np.arange(len(mine), dtype=np.int32), mine)
-                    rng.shuffle(labels)
-                    keys = rng.integers(-(2**63), 2**63 - 1, len(labels), dtype=np.int64)
+                    labels, keys = deal_rows(seed, counts, sizes, int(np.searchsorted(names, p)))
                     at = p
                 m = parts == p
                 label[m], order[m] = labels[rows[m]], keys[rows[m]]
+            of = ((order >> 31) * ranges >> 32).astype(np.int32)  # ranges of the key, in its order
             keep = [batch.column(k) for k, name in enumerate(batch.schema.names) if name != part]
             named = [name for name in batch.schema.names if name != part]
-            yield pa.RecordBatch.from_arrays([*keep, pa.array(label), pa.array(order)], names=[*named, dealt, key])
-
-    out = staged.mapInArrow(deal, T.StructType(fields))
-    offset, ranged = fresh(df, "_offset", "_r")
-    table = spark.createDataFrame(
-        [(i, i // per, int(b)) for i, b in enumerate(begin.tolist())], f"`{ranged}` int, shard int, `{offset}` long"
-    )
-    w = Window.partitionBy(dealt).orderBy(key, row)
-    slotted = out.withColumn("slot", (F.row_number().over(w) - 1).cast("long"))
-    if len(flat) <= 100_000:  # 16 bytes a range; beyond that a shuffled join
-        table = F.broadcast(table)
-    joined = slotted.join(table, F.col(dealt) == F.col(ranged))
-    return joined.select(*[F.col(f"`{c}`") for c in df.columns], "shard", (F.col("slot") + F.col(offset)).alias("slot"))
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(label), pa.array(of), pa.array(order)], names=[*named, "shard", rank, key])
+
+    added = [T.StructField("shard", T.IntegerType()), T.StructField(rank, T.IntegerType()), T.StructField(key, T.LongType())]
+    out = staged.mapInArrow(deal, T.StructType([*df.schema.fields, T.StructField(row, T.LongType()), *added]))
+    slim = staged.select(part, row).mapInArrow(deal, T.StructType([T.StructField(row, T.LongType()), *added]))
+    # where each range begins in its shard
+    begins = slim.groupBy("shard", rank).count()
+    before = Window.partitionBy("shard").orderBy(rank).rowsBetween(Window.unboundedPreceding, -1)
+    begins = begins.select("shard", rank, F.coalesce(F.sum("count").over(before), F.lit(0)).alias(offset))
+    if shards * ranges <= 100_000:  # 16 bytes a range; beyond that a shuffled join
+        begins = F.broadcast(begins)
+    slot = F.row_number().over(Window.partitionBy("shard", rank).orderBy(key, row)) - 1
+    slotted = out.withColumn("slot", slot.cast("long")).join(begins, ["shard", rank])
+    return slotted.select(*[F.col(f"`{c}`") for c in df.columns], "shard", (F.col("slot") + F.col(offset)).alias("slot"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

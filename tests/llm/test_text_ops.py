@@ -96,7 +96,7 @@ def test_words(rows, piece, monkeypatch):
 def test_shards(spark, docs, rows):
     for n, shards in ((len(rows), 16), (len(rows), 1), (3, 16)):
         df = docs.withColumn("shard", F.lit("x")).withColumn("_row", F.lit(1)).limit(n)
-        got = op1_shards.shard(df, shards, range_rows=4).collect()
+        got = op1_shards.shard(df, shards, range_bytes=100).collect()
         assert len(got) == n
         assert "_row" in got[0].asDict()
         slots = {}
@@ -125,6 +125,26 @@ def test_shard_matrix_is_exact_and_uniform():
     assert abs(np.mean(big) - 5e5) < 200 and 350 < np.std(big) < 650
 
 
+def test_shuffle_is_uniform():
+    """Whole arrangements of small tables: all as frequent as the uniform law says."""
+    from itertools import permutations
+
+    for counts in ([2, 2], [1] * 6, [3, 0, 1]):  # 6 partitions: tree nodes and partitions with equal numbers
+        rows = [(i, k) for i, c in enumerate(counts) for k in range(c)][: sum(counts)]
+        n, seen = len(rows), {}
+        sizes = np.array([n - n // 2, n // 2])
+        draws = 240 if n == 4 else 7200
+        for seed in range(draws):
+            dealt = [op1_shards.deal_rows(seed, np.array(counts), sizes, i) for i in range(len(counts))]
+            order = tuple(sorted(range(n), key=lambda r: (dealt[rows[r][0]][0][rows[r][1]], dealt[rows[r][0]][1][rows[r][1]])))
+            assert [sum(d[0].tolist().count(s) for d in dealt) for s in (0, 1)] == sizes.tolist()
+            seen[order] = seen.get(order, 0) + 1
+        every = list(permutations(range(n)))
+        each = draws / len(every)
+        chi = sum((seen.get(p, 0) - each) ** 2 / each for p in every)
+        assert chi < len(every) - 1 + 4.5 * (2 * (len(every) - 1)) ** 0.5
+
+
 # -- 2 -----------------------------------------------------------------------
 
 
