@@ -7,22 +7,28 @@ unchanged.  An automaton over all pieces finds such hits in each text; around
 each hit a count of trigrams rules out most chance hits, and Myers' bit-parallel
 algorithm gives the distance of the rest.
 
-Items are read in blocks of bounded size, each of which is sent to the
-executors; every block is held against every text, and texts are never shuffled.
+Items are read in blocks of bounded size.  One block is sent to the executors at a
+time and held against every text; texts are never shuffled while one block holds
+all items.  With more, each block's matches are written as a table of text numbers
+before the next block is read, and joined to the texts at the end.
 
 Defined results
-  * null or empty text: no match; null or empty items, and items of fewer than
-    ``min_chars`` normalised characters (which chance would match): never match;
-    a warning gives the number of such short items;
+  * null or empty text: no match; null items, and items without a letter or digit:
+    never match; items of fewer than ``min_chars`` normalised characters don't
+    either (none by default), and a warning gives their number;
+  * items of fewer than SHORT normalised characters have no error budget and match
+    whole words only, since chance would match their parts;
   * equal items each match under their own id; an item id that repeats gives one
     match for each row of it, a null one is reported as null;
   * for each text and item the best passage is reported, the first of equals;
+    repeated texts are searched one by one;
   * very long texts are searched whole; extra columns are kept, columns with the
     result's names are replaced.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import warnings
 
@@ -31,8 +37,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._store import fresh, stage
+
 RATE = 0.08
-MIN_CHARS = 20
+MIN_CHARS = 1
+#: Normalised characters below which an item must occur unchanged, as whole words.
+SHORT = 20
 #: Characters of items in one block.
 BLOCK_CHARS = 1_000_000
 
@@ -93,7 +103,7 @@ class Matcher:
         self.items = []
         found: dict[str, list] = {}
         for item_id, text in items:
-            k = int(rate * len(text))
+            k = int(rate * len(text)) if len(text) >= SHORT else 0
             at = len(self.items)
             self.items.append((item_id, text, k, {text[i : i + 3] for i in range(len(text) - 2)}))
             for offset, piece in pieces(text, k):
@@ -115,6 +125,13 @@ class Matcher:
         out = []
         for at in sorted(starts):
             item_id, item, k, grams = self.items[at]
+            if len(item) < SHORT:
+                for s in sorted(starts[at]):
+                    e = s + len(item)
+                    if (s == 0 or text[s - 1] == " ") and (e == len(text) or text[e] == " "):
+                        out.append((item_id, 0, 0, s, e))
+                        break
+                continue
             best = None
             lo = hi = None
             spans = []
@@ -187,25 +204,42 @@ def find_leaks(
         ]
     )
     df = df.drop(*[c for c in df.columns if c.lower() == "leaks"])
-    blocks = [spark.sparkContext.broadcast((b, rate)) for b in item_blocks(benchmark, item_id, item_text, min_chars)]
+
+    def search(df: DataFrame, block: list, carried: list, always: bool) -> DataFrame:
+        """``carried`` columns and the leaks of one block, for texts with some or for all."""
+        sent = spark.sparkContext.broadcast((block, rate))  # BLOCK_CHARS characters
+        schema = T.StructType([*carried, T.StructField("leaks", T.ArrayType(match))])
+
+        def run(batches):
+            from pyspark.sql.pandas.types import to_arrow_type
+
+            matcher = Matcher(*sent.value)
+            leak_type = to_arrow_type(T.ArrayType(match))
+            for batch in batches:
+                leaks = [[dict(zip(match.names, m)) for m in matcher.find(normal(x.as_py()))] for x in batch.column(batch.schema.get_field_index(text))]
+                out = [*[batch.column(batch.schema.get_field_index(f.name)) for f in carried], pa.array(leaks, leak_type)]
+                found = pa.RecordBatch.from_arrays(out, names=schema.names)
+                yield found if always else found.filter(pa.array([bool(x) for x in leaks]))
+
+        return df.mapInArrow(run, schema)
+
     carried = [f for f in df.schema.fields if keep_text or f.name != text]
-    schema = T.StructType([*carried, T.StructField("leaks", T.ArrayType(match))])
-
-    def run(batches):
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        matchers = [Matcher(*b.value) for b in blocks]
-        leak_type = to_arrow_type(T.ArrayType(match))
-        for batch in batches:
-            leaks = []
-            for x in batch.column(batch.schema.get_field_index(text)):
-                t = normal(x.as_py())
-                leaks.append([dict(zip(match.names, m)) for one in matchers for m in one.find(t)])
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(batch.schema.get_field_index(f.name)) for f in carried], pa.array(leaks, leak_type)], names=schema.names
-            )
-
-    return df.mapInArrow(run, schema)
+    blocks = item_blocks(benchmark, item_id, item_text, min_chars)
+    first = next(blocks, [])
+    second = next(blocks, None)
+    if second is None:
+        return search(df, first, carried, True)
+    row, more = fresh(df, "_row", "_leaks")
+    staged = stage(df.withColumn(row, F.monotonically_increasing_id()), "texts")
+    slim = staged.select(row, text)
+    found = None
+    for block in itertools.chain([first, second], blocks):
+        part = stage(search(slim, block, [slim.schema[row]], False), "leaks")
+        found = part if found is None else found.union(part)
+    found = found.groupBy(row).agg(F.flatten(F.collect_list("leaks")).alias(more))  # at most one match for an item
+    joined = staged.join(found, row, "left")
+    none = F.array().cast(T.ArrayType(match))
+    return joined.select(*[F.col(f"`{f.name}`") for f in carried], F.coalesce(more, none).alias("leaks"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

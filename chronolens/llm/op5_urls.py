@@ -2,12 +2,15 @@
 
 Each distinct URL is expanded into ``host suffix + path prefix`` expressions.
 An expression is joined to the rules on the first four bytes of its SHA-256
-digest; the full digest confirms the hit, and the longest rule wins.  All of it
-is DataFrame expressions.
+digest alone; the rules that share those bytes come as an array, in which the full
+digest confirms the hit, and the longest rule wins.  All of it is DataFrame
+expressions.
 
 Defined results
   * null URL or one without ``://``: empty host and path, no rule, the default
     verdict;
+  * very long URLs are judged whole; an expression's path is no longer than the
+    longest rule's path;
   * empty tables give empty results, an empty rule table the default verdict;
   * repeated rows stay repeated, extra columns are kept; helper names never
     clash because the work is done on a table of distinct URLs;
@@ -78,6 +81,18 @@ def prepare_rules(rules: DataFrame) -> DataFrame:
     )
 
 
+def by_short_hash(ruled: DataFrame) -> DataFrame:
+    """(_short, _rules): all rules that share a short hash, as one array."""
+    rule = F.struct(
+        F.col("_length").alias("n"),
+        F.length("host").alias("h"),
+        F.col("verdict").alias("verdict"),
+        F.concat("host", "path").alias("rule"),
+        F.col("_digest").alias("digest"),
+    )
+    return ruled.groupBy("_short").agg(F.collect_list(rule).alias("_rules"))
+
+
 def url_filter(
     pages: DataFrame,
     rules: DataFrame,
@@ -113,22 +128,20 @@ def url_filter(
     )
     exploded = work.select("url", F.explode(keys).alias("_k")).select("url", F.sha2("_k", 256).alias("_d"))
     exploded = exploded.select("url", "_d", F.substring("_d", 1, SHORT).alias("_s"))
-    side = F.broadcast(ruled) if small else ruled
-    hits = exploded.join(side, (F.col("_s") == F.col("_short")) & (F.col("_d") == F.col("_digest")))
-    best = hits.groupBy("url").agg(
-        F.max(
-            F.struct(
-                F.col("_length").alias("n"),
-                F.length("host").alias("h"),
-                F.col("verdict").alias("verdict"),
-                F.concat("host", "path").alias("rule"),
-            )
-        ).alias("best")
-    )
+    side = by_short_hash(ruled)
+    side = F.broadcast(side) if small else side
+    near = exploded.join(side, F.col("_s") == F.col("_short"))
+    # the digest is compared inside the array: as a join condition it would be hashed with the short one
+    hit = F.filter("_rules", lambda r: r["digest"] == F.col("_d"))
+    hits = near.select("url", F.array_max(hit).alias("best")).where(F.col("best").isNotNull())
+    best = hits.groupBy("url").agg(F.max("best").alias("best"))
     u, b = fresh(pages, "_url", "_best")
-    joined = pages.join(best.select(F.col("url").alias(u), F.col("best").alias(b)), F.col(url) == F.col(u), "left")
-    host, path = split_url(pages[url])
-    kept = [pages[c] for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
+    best = best.select(F.col("url").alias(u), F.col("best").alias(b))
+    # rows without a URL would all meet in one task of the join
+    blank = pages.where(F.col(url).isNull()).withColumn(u, F.lit(None).cast("string")).withColumn(b, F.lit(None).cast(best.schema[b].dataType))
+    joined = pages.where(F.col(url).isNotNull()).join(best, F.col(url) == F.col(u), "left").unionByName(blank)
+    host, path = split_url(F.col(url))
+    kept = [F.col(f"`{c}`") for c in pages.columns if c.lower() not in ("host", "path", "rule", "verdict")]
     return joined.select(
         *kept,
         host.alias("host"),

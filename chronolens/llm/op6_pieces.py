@@ -8,10 +8,9 @@ vocabulary, and where it does not hold the text is one segment.  Segments that
 recur are encoded once and kept in a bounded table.
 
 Every segment that is encoded is compared with the sentencepiece library, batch
-by batch, as is the first text of each slice as a whole if it has fewer than
-5,000 characters; longer texts are compared by their new segments only, and with
-a vocabulary that holds a line feed there is no comparison by segments.  A
-difference raises an error.
+by batch, as is the first text of each slice as a whole; with a vocabulary that
+holds a line feed every text is compared as a whole instead.  A difference raises
+an error.
 
 Defined results
   * null text: no ids, empty decoded text; empty text the same;
@@ -233,7 +232,11 @@ class Encoder:
         return out
 
     def compare(self, segments: list[str], mine: list[list[int]]) -> None:
-        """Hold segments against the library, joined by line feeds to long texts."""
+        """Hold segments against the library, joined by line feeds to long texts.
+
+        Where a piece holds a line feed, segments would merge across them: such a
+        vocabulary's texts are compared one by one as wholes.
+        """
         if not self.v.line_splits:
             return
         feed = [self.v.byte_ids[10]]
@@ -302,9 +305,8 @@ def encode_decode(df: DataFrame, model: str, text: str = "text", only: tuple[str
                     to += 1
                 split = [e.segments(t) for t in texts]
                 table = e.learn(set().union(*split))
-                for t in texts[:1]:
-                    if len(t) < 5000:
-                        e.compare_whole(t)
+                for t in texts[:1] if e.v.line_splits else texts:
+                    e.compare_whole(t)
                 out = {f.name: [] for f in wanted}
                 for segs in split:
                     got = [table[s] for s in segs]

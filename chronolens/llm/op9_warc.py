@@ -10,7 +10,12 @@ one with the largest key.
 
 Archives are written to the shared folder, one file for each task and attempt;
 a manifest, written as a table when all tasks are done, names the chunks that
-count.  Files left by lost attempts are in no manifest.
+count.  Files left by lost attempts are in no manifest.  Record identifiers come
+from the task's number and the offset, so an attempt that is repeated gives the
+same ones.
+
+Which captures are revisits is found on an index without their payloads; the
+decisions go to the chunks that hold the captures, so payloads are never shuffled.
 
 Defined results
   * null payload: empty; null URL: written as ``about:blank``; white space and
@@ -33,6 +38,7 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -159,7 +165,7 @@ def warc_record(headers: list[tuple[str, str]], block: bytes) -> bytes:
 
 
 def convert(row: dict) -> bytes:
-    """The WARC record of one ARC capture (a row of ``read_arc``)."""
+    """The WARC record of one ARC capture (a row of ARC_ROWS and ``refers_to_id``)."""
     revisit = row["refers_to_id"] is not None
     block = row["http"] if revisit else row["http"] + row["payload"]
     kind = "revisit" if revisit else "response" if row["http"] else "resource"
@@ -204,11 +210,11 @@ def _open(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
-def _writer(folder: str, suffix: str, batches, record, first=None):
+def _writer(folder: str, suffix: str, rows: Iterator[dict], record, first=None):
     """Writes records to a new file; yields the manifest's rows."""
     system, base = _open(folder)
     system.create_dir(base, recursive=True)
-    name = f"{uuid.uuid4().hex}.{suffix}"
+    name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.{suffix}"
     out, at, begin, count = None, 0, 0, 0
     done = []
 
@@ -219,20 +225,19 @@ def _writer(folder: str, suffix: str, batches, record, first=None):
         begin, count = at, 0
 
     try:
-        for batch in batches:
-            for row in batch.to_pylist():
-                if out is None:
-                    out = system.open_output_stream(f"{base}/{name}", compression=None)
-                if first is not None and count == 0:  # each chunk can be read alone
-                    data = member(first(name))
-                    out.write(data)
-                    at += len(data)
-                data = member(record(row, name, at))
+        for row in rows:
+            if out is None:
+                out = system.open_output_stream(f"{base}/{name}", compression=None)
+            if first is not None and count == 0:  # each chunk can be read alone
+                data = member(first(name))
                 out.write(data)
                 at += len(data)
-                count += 1
-                if at - begin >= CHUNK_BYTES:
-                    chunk()
+            data = member(record(row, name, at))
+            out.write(data)
+            at += len(data)
+            count += 1
+            if at - begin >= CHUNK_BYTES:
+                chunk()
         chunk()
     finally:
         if out is not None:
@@ -252,8 +257,12 @@ def write_arc(df: DataFrame, folder: str, version: int = 1, date: str = "2024010
         url = _unsafe.sub(lambda m: f"%{ord(m[0]):02X}", row["url"]) if row["url"] else "about:blank"
         return arc_record(version, url, "0.0.0.0", date, "text/html", 200, head.encode() + body, name, offset)
 
-    rows = df.select("key", "url", "payload")
-    out = rows.mapInArrow(lambda b: _writer(folder, "arc.gz", b, record, lambda name: arc_version_block(version, name, date)), MANIFEST)
+    def rows(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, 100):
+                yield from batch.slice(k, 100).to_pylist()
+
+    out = df.select("key", "url", "payload").mapInArrow(lambda b: _writer(folder, "arc.gz", rows(b), record, lambda name: arc_version_block(version, name, date)), MANIFEST)
     return stage(out, "manifest")
 
 
@@ -274,6 +283,9 @@ def _spread(manifest: DataFrame) -> DataFrame:
 
 ARC_ROWS = T.StructType(
     [
+        T.StructField("path", T.StringType()),
+        T.StructField("begin", T.LongType()),
+        T.StructField("offset", T.LongType()),
         T.StructField("key", T.LongType()),
         T.StructField("url", T.StringType()),
         T.StructField("ip", T.StringType()),
@@ -302,6 +314,27 @@ def _batches(rows: Iterator[tuple], types: list[pa.DataType], names: list[str],
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), types)], names=names)
 
 
+def _captures(chunk: dict, data: bytes) -> Iterator[tuple]:
+    """Rows of ARC_ROWS of one chunk."""
+    name = chunk["path"].rpartition("/")[2]
+    task = name.partition("-")[0]
+    fields = None
+    for offset, content in members(data):
+        for head, block, fields in parse_arc(content, fields):
+            if "filedesc" in head:
+                continue
+            http, payload = split_http(block)
+            key = _key.search(http)
+            date = head["Archive-date"]
+            place = chunk["begin"] + offset
+            found = record_id(task, place, head["URL"], date)
+            yield (
+                *(chunk["path"], chunk["begin"], place, int(key[1]) if key else None),
+                *(head["URL"], head["IP-address"], warc_date(date), head["Content-type"], found),
+                *(http, payload, sha1_base32(payload), len(payload)),
+            )
+
+
 def read_arc(manifest: DataFrame, folder: str, blocks: bool = True) -> DataFrame:
     """Captures of the manifest's chunks, with WARC identifiers and dates, and
     ``size``, the payload's bytes.  Without ``blocks``, http and payload are null.
@@ -309,56 +342,49 @@ def read_arc(manifest: DataFrame, folder: str, blocks: bool = True) -> DataFrame
 
     def rows(batches):
         for chunk, data in _chunks(folder, batches):
-            name = chunk["path"].rpartition("/")[2]
-            fields = None
-            for offset, content in members(data):
-                for head, block, fields in parse_arc(content, fields):
-                    if "filedesc" in head:
-                        continue
-                    http, payload = split_http(block)
-                    key = _key.search(http)
-                    date = head["Archive-date"]
-                    yield (
-                        int(key[1]) if key else None,
-                        head["URL"],
-                        head["IP-address"],
-                        warc_date(date),
-                        head["Content-type"],
-                        record_id(name, chunk["begin"] + offset, head["URL"], date),
-                        http if blocks else None,
-                        payload if blocks else None,
-                        sha1_base32(payload),
-                        len(payload),
-                    )
-
-    types = [pa.int64(), *[pa.string()] * 5, pa.binary(), pa.binary(), pa.string(), pa.int64()]
-    return _spread(manifest).mapInArrow(lambda b: _batches(rows(b), types, ARC_ROWS.names, weigh=lambda r: 500 + len(r[7] or b"")), ARC_ROWS)
-
-
-def mark_revisits(captures: DataFrame, index: DataFrame | None = None, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """``captures`` with ``refers_to_id``: the response that a revisit repeats.
-
-    ``index`` has the captures without their blocks, if those can be read apart.
-    Only digests that two captures or more share are joined back.
+            for r in _captures(chunk, data):
+                yield r if blocks else (*r[:9], None, None, *r[11:])
+
+    types = [pa.string(), *[pa.int64()] * 3, *[pa.string()] * 5, pa.binary(), pa.binary(), pa.string(), pa.int64()]
+    return _spread(manifest).mapInArrow(lambda b: _batches(rows(b), types, ARC_ROWS.names, weigh=lambda r: 500 + len(r[10] or b"")), ARC_ROWS)
+
+
+def revisits(index: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
+    """(path, begin, offset, refers_to_id): captures that repeat another's payload.
+
+    ``index``: captures without their blocks.  Only digests that two captures or
+    more share are joined back, on rows of some 100 bytes.
     """
-    long = F.col("size") >= revisit_bytes
+    slim = index.where(F.col("size") >= revisit_bytes).select("path", "begin", "offset", "key", "record_id", "digest")
     best = (
-        (captures if index is None else index)
-        .where(long)
-        .groupBy("digest")
+        slim.groupBy("digest")
         .agg(F.max(F.struct("key", "record_id")).alias("best"), F.count("*").alias("n"))
         .where("n > 1")
-        .select(F.col("digest").alias("_digest"), F.col("best.key").alias("_key"), F.col("best.record_id").alias("_id"))
+        .select(F.col("digest").alias("_digest"), F.col("best.key").alias("_key"), F.col("best.record_id").alias("refers_to_id"))
     )
-    joined = captures.join(best, long & (F.col("digest") == F.col("_digest")), "left")
-    other = F.col("_id").isNotNull() & ~F.col("key").eqNullSafe(F.col("_key"))
-    return joined.withColumn("refers_to_id", F.when(other, F.col("_id"))).drop("_digest", "_key", "_id")
+    joined = slim.join(best, F.col("digest") == F.col("_digest"))
+    return joined.where(~F.col("key").eqNullSafe(F.col("_key"))).select("path", "begin", "offset", "refers_to_id")
+
 
+def convert_archive(manifest: DataFrame, again: DataFrame, old: str, new: str) -> DataFrame:
+    """Writes the manifest's captures as WARC records; the new manifest.
+
+    ``again``: what ``revisits`` found.  Its rows go to their chunks, one row for
+    each chunk of CHUNK_BYTES; each task reads a chunk and writes its records.
+    """
+    told = again.groupBy("path", "begin").agg(F.collect_list(F.struct("offset", "refers_to_id")).alias("told"))
+    chunks = manifest.join(told, ["path", "begin"], "left").select(*manifest.columns, "told")
+
+    def rows(batches):
+        names = ARC_ROWS.names
+        for chunk, data in _chunks(old, batches):
+            refers = {x["offset"]: x["refers_to_id"] for x in chunk["told"] or ()}
+            for r in _captures(chunk, data):
+                row = dict(zip(names, r))
+                row["refers_to_id"] = refers.get(row["offset"])
+                yield row
 
-def write_warc(captures: DataFrame, folder: str) -> DataFrame:
-    """Writes converted captures as WARC records; the manifest."""
-    rows = captures.select(*ARC_ROWS.names, "refers_to_id")
-    return stage(rows.mapInArrow(lambda b: _writer(folder, "warc.gz", b, lambda row, name, at: convert(row)), MANIFEST), "manifest")
+    return stage(_spread(chunks).mapInArrow(lambda b: _writer(new, "warc.gz", rows(b), lambda row, name, at: convert(row)), MANIFEST), "manifest")
 
 
 WARC_ROWS = "key long, record_id string, type string, url string, date string, payload_bytes long, payload_digest string, refers_to_id string"
@@ -406,12 +432,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = pages.select(F.col("page_id").cast("long").alias("key"), "url", F.col("html").alias("payload"))
     old, new = new_path(spark, "arc"), new_path(spark, "warc")
     archive = write_arc(pages, old)
-    marked = mark_revisits(read_arc(archive, old), read_arc(archive, old, blocks=False))
-    records = read_warc(write_warc(marked, new), new)
+    again = stage(revisits(read_arc(archive, old, blocks=False)), "revisits")
+    records = read_warc(convert_archive(archive, again, old, new), new)
     records = stage(records.select("key", "record_id", "type", "payload_bytes", "payload_digest", "refers_to_id"), "records")
     named = records.where("type <> 'revisit'").select(F.col("record_id").alias("_id"), F.col("key").alias("refers_to"))
-    revisits = records.where("type = 'revisit'").join(named, F.col("refers_to_id") == F.col("_id"), "left").drop("_id")
-    both = records.where("type <> 'revisit'").withColumn("refers_to", F.lit(None).cast("long")).unionByName(revisits)
+    repeats = records.where("type = 'revisit'").join(named, F.col("refers_to_id") == F.col("_id"), "left").drop("_id")
+    both = records.where("type <> 'revisit'").withColumn("refers_to", F.lit(None).cast("long")).unionByName(repeats)
     return both.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
 
 

@@ -262,7 +262,7 @@ def test_leaks(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
     items = [(k, " ".join(word() for _ in range(rng.randint(6, 25)))) for k in range(15)]
-    items += [(15, items[0][1]), (None, items[1][1]), (16, None), (17, ""), (18, "ab")]
+    items += [(15, items[0][1]), (None, items[1][1]), (16, None), (17, ""), (18, "ab"), (19, "Cab-bage"), (20, "!?")]
     rows = []
     for i in range(60):
         text = [word() for _ in range(40)]
@@ -274,6 +274,7 @@ def test_leaks(spark):
             text[20:20] = ["".join(s).upper() + "!!"]
         rows.append((i, " ".join(text), "en", "s", 1))
     rows += [(70, None, None, None, None), (71, "", "en", "s", 0), (72, items[3][1], "en", "s", 0), rows[1]]
+    rows += [(73, "xab aby", "en", "s", 1), (74, "a cab bage; AB", "en", "s", 1), (75, "z " * 40000 + items[2][1] + " y" * 40000, "en", "s", 1)]
     df = spark.createDataFrame(rows, SCHEMA).withColumn("leaks", F.lit(1))
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {}
@@ -284,7 +285,10 @@ def test_leaks(spark):
         want = set()
         for k, item in items:
             p = op3_leaks.normal(item)
-            if len(p) >= op3_leaks.MIN_CHARS and t:
+            if p and t and len(p) < op3_leaks.SHORT:
+                if f" {p} " in f" {t} ":
+                    want.add((k, 0))
+            elif p and t:
                 d = distance(p, t)
                 if d <= int(op3_leaks.RATE * len(p)):
                     want.add((k, d))
@@ -296,16 +300,22 @@ def test_leaks(spark):
 def test_leaks_tell_short_items(spark):
     bench = spark.createDataFrame([(0, "too short"), (1, ""), (2, None), (3, "a b c"), (4, "long enough to be searched")], "item_id long, text string")
     with pytest.warns(UserWarning, match="^2 benchmark items"):
-        blocks = list(op3_leaks.item_blocks(bench, "item_id", "text", op3_leaks.MIN_CHARS))
+        blocks = list(op3_leaks.item_blocks(bench, "item_id", "text", 20))
     assert [[i for i, _ in b] for b in blocks] == [[4]]
+    blocks = list(op3_leaks.item_blocks(bench, "item_id", "text", op3_leaks.MIN_CHARS))
+    assert [[i for i, _ in b] for b in blocks] == [[0, 3, 4]]
 
 
 def test_leak_blocks(spark, monkeypatch):
     monkeypatch.setattr(op3_leaks, "BLOCK_CHARS", 30)
     bench = spark.createDataFrame([(i, f"this is item number {i} of the benchmark {i * 7}") for i in range(9)], "item_id long, text string")
     df = spark.createDataFrame([(i, f"x this is item number {i} of the benchmark {i * 7} y") for i in range(9)], "doc_id long, text string")
-    for r in op3_leaks.find_leaks(df, bench, rate=0.02).collect():
+    df = df.union(df.where("doc_id = 3")).withColumn("_row", F.lit("x"))
+    got = op3_leaks.find_leaks(df, bench, rate=0.02)
+    assert got.columns == ["doc_id", "text", "_row", "leaks"] and got.count() == 10
+    for r in got.collect():
         assert [m["item_id"] for m in r["leaks"]] == [r["doc_id"]]
+    assert op3_leaks.find_leaks(df.limit(0), bench).count() == 0
 
 
 # -- 4 -----------------------------------------------------------------------
@@ -362,6 +372,7 @@ def test_urls(spark, bytes_):
     flat = [(h, p, v) for (h, p), v in effective.items()]
     urls = [None, "", "no scheme", "http://", "http://com/", "http://COM/x", "http://a.com", "http://WWW.Example.com/en/1?x=/fr/", "https://example.com/en", "ftp://m.example.com/en/#a"]
     urls += ["http://q.net/es/", "http://net/fr/x", "http://b.net/de/", "http://x.org/abc", "http://x.org/ac", "http://y.org?q", "http://a://b.com/", "http://xcom/", "http://x.org/ab\nc", "http://..com/"]
+    urls += ["http://" + "a." * 60 + "q.net/es/" + "x/" * 20000, "http://a.net/" + "y" * 50000]
     df = spark.createDataFrame([(i, u, "r") for i, u in enumerate(urls + urls[:9])] + [(None, "http://a.com/", None)], "page_id long, url string, rule string")
     got = op5_urls.url_filter(df, spark.createDataFrame(rules, "host string, path string, verdict string"), broadcast_bytes=bytes_).collect()
     want = [(i, *verdict(u, flat)) for i, u in enumerate(urls + urls[:9])] + [(None, *verdict("http://a.com/", flat))]
@@ -684,8 +695,11 @@ def test_warc_round_trip(spark, tmp_path, version, monkeypatch):
     rows += [(None, None, big[0]), (99, None, big[0]), (99, "u", big[0]), (98, "u\n", "é" * 500)]
     df = spark.createDataFrame(rows, "key long, url string, payload string").repartition(3)
     old, new = f"file://{tmp_path}/a", f"file://{tmp_path}/b"
-    captures = op9_warc.read_arc(op9_warc.write_arc(df, old, version), old)
-    manifest = op9_warc.write_warc(op9_warc.mark_revisits(captures), new)
+    archive = op9_warc.write_arc(df, old, version)
+    captures = op9_warc.read_arc(archive, old)
+    assert sorted(str(bytes(r["payload"])) for r in captures.collect()) == sorted(str((p or "").encode()) for _, _, p in rows)
+    again = op9_warc.revisits(op9_warc.read_arc(archive, old, blocks=False))
+    manifest = op9_warc.convert_archive(archive, again, old, new)
     got = op9_warc.read_warc(manifest, new).collect()
     ids = {r["record_id"]: r["key"] for r in got}
     assert len(ids) == len(rows) == len(got)
@@ -706,8 +720,8 @@ def test_warc_round_trip(spark, tmp_path, version, monkeypatch):
     assert text.count(b"WARC/1.1\r\n") == len(rows)
     for d in re.findall(rb"WARC-Payload-Digest: sha1:(\w+)", text):
         assert len(base64.b32decode(d)) == 20
-    none = op9_warc.read_arc(op9_warc.write_arc(df.limit(0), old), old)
-    assert op9_warc.read_warc(op9_warc.write_warc(op9_warc.mark_revisits(none), new), new).count() == 0
+    none = op9_warc.write_arc(df.limit(0), old)
+    assert op9_warc.read_warc(op9_warc.convert_archive(none, op9_warc.revisits(op9_warc.read_arc(none, old)), old, new), new).count() == 0
 
 
 # -- 10 ----------------------------------------------------------------------
