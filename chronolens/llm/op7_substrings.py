@@ -287,7 +287,8 @@ class SuffixArray:
         for k in range(7):
             self.ranks.append(r.astype(np.int32))
             after = np.zeros(n, np.int64)
-            after[: n - (1 << k)] = r[1 << k :] + 1
+            if 1 << k < n:
+                after[: n - (1 << k)] = r[1 << k :] + 1
             _, r = np.unique(r * (n + len(codes) + 2) + after, return_inverse=True)
         self.order = np.argsort(r, kind="stable")
 

@@ -4,8 +4,10 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from chronolens.llm import op3_leaks
+from chronolens.llm import _store, op3_leaks
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -43,6 +45,37 @@ def test_pipeline(spark, folder):
         assert r["lang"] == ("fr" if k is not None and k < 60 and k % 3 == 0 else "en")
 
 
+def test_stages_take_odd_rows(spark, folder):
+    """Clashing columns, repeated rows, long texts, nulls in any column."""
+    d, rows, passage = folder
+    odd = [*rows, rows[0], rows[0], (200, None, None, None, None), (201, " ".join(f"zz{i}" for i in range(60000)), "en", None, None)]
+    names = ["n_words", "kept", "spans", "factors", "leaks", "score", "lang_pred", "held_out", "mixture", "n_shingles", "component_id", "_row", "_block", "n_tokens"]
+    docs = spark.createDataFrame(odd, SCHEMA).repartition(2)
+    for i, n in enumerate(names):
+        docs = docs.withColumn(n, F.lit(f"own {i}"))
+    docs = docs.withColumn("mixture", F.lit(None).cast("string"))
+    sizes = {"language_id": {200, 105, 106, 107}, "ngram_jaccard_join": {100, 101}, "substring_dedup": {100}, "benchmark_decontamination": {104}}
+    for name, f in corpus_pipeline.STAGES:
+        out = f(spark, docs, d)
+        got = out.collect()
+        if name == "sentencepiece_encoding":
+            assert len(got) == len(odd) and all(isinstance(r["n_tokens"], int) for r in got)
+            continue
+        assert out.columns == docs.columns
+        assert {r[0] for r in odd} - {r["doc_id"] for r in got} == sizes[name], name
+        assert all(r[n] == f"own {i}" for r in got for i, n in enumerate(names) if n != "mixture")
+        assert sum(r["doc_id"] == 0 for r in got) == (1 if name == "ngram_jaccard_join" else 3), name
+        assert sum(r["doc_id"] is None for r in got) == 1
+
+
+def test_run_removes_what_it_staged(spark, folder, tmp_path, monkeypatch):
+    monkeypatch.setattr(_store, "shared_dir", lambda spark: f"file://{tmp_path}")
+    d, _, _ = folder
+    out = corpus_pipeline.run(spark, d)
+    assert [p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()] == [corpus_pipeline.STAGES[-2][0]]
+    assert out.count() > 0
+
+
 def test_stages_keep_columns_and_empty_tables(spark, folder):
     d, _, _ = folder
     empty = spark.createDataFrame([], SCHEMA)
