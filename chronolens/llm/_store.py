@@ -36,6 +36,18 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own[0]
 
 
+#: Bytes of rows that go to a Python worker at once; by default Spark counts rows only.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes, unless the session has a bound: 10,000 long
+    texts in one batch would outgrow an executor."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 _scope: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scope", default=None)
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import fresh, stage
+from ._store import bound_batches, fresh, stage
 
 SHARDS = 16
 #: Bytes of a slot range: the unit of the second permutation.
@@ -116,6 +116,7 @@ def shard(
     if shards < 1:
         raise ValueError("shards must be positive")
     spark = df.sparkSession
+    bound_batches(spark)
     drop = [c for c in df.columns if c.lower() in ("shard", "slot")]
     df = df.drop(*drop)
     part, row, rank, key, offset = fresh(df, "_part", "_row", "_range", "_key", "_offset")

@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 
 from . import _bits
 from ._graph import components
-from ._store import fresh, new_path, remove, scratch, stage
+from ._store import bound_batches, fresh, new_path, remove, scratch, stage
 from ._words import grams, mix, slices, words_of
 
 SHINGLE = 5
@@ -624,6 +624,7 @@ def jaccard_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text"
     The result is staged, and what led to it is removed.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     result = new_path(spark, "components")
     with scratch() as made:
         try:
@@ -694,6 +695,7 @@ def drop_ids(df: DataFrame, gone: DataFrame, doc_id: str = "doc_id") -> DataFram
     A bit table lets rows that surely stay pass by; only the others, with their
     texts, are shuffled to the exact anti-join.  Rows without an id stay.
     """
+    bound_batches(df.sparkSession)
     name = gone.columns[0]
     size = _bits.bits_for(16 * gone.count())
 

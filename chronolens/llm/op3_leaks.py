@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import fresh, stage
+from ._store import bound_batches, fresh, stage
 
 RATE = 0.08
 MIN_CHARS = 1
@@ -193,6 +193,7 @@ def find_leaks(
     Places are in the normalised text.
     """
     spark = df.sparkSession
+    bound_batches(spark)
     kind = benchmark.schema[item_id].dataType
     match = T.StructType(
         [

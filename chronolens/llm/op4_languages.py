@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._store import bound_batches
 from ._words import slices
 
 TABLE_BITS = 16
@@ -82,6 +83,7 @@ def held_out(key: int | None) -> bool:
 
 def learn(df: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages in order and their n-gram counts, from all training rows."""
+    bound_batches(df.sparkSession)
 
     def count(batches):
         tables: dict[str, np.ndarray] = {}
@@ -178,6 +180,7 @@ def infer(p: np.ndarray, logs: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, n
 
 def identify(df: DataFrame, model: tuple[list[str], np.ndarray], doc_id: str = "doc_id", text: str = "text", keep_text: bool = True) -> DataFrame:
     """``df`` with held_out, lang_pred, score and the mixture (proportions)."""
+    bound_batches(df.sparkSession)
     names, counts = model
     made = {"held_out", "lang_pred", "score", "mixture"}
     carried = [f for f in df.schema.fields if f.name not in made and (keep_text or f.name != text)]

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from ._store import bound_batches
+
 MARK = "▁"
 
 #: Segments kept in each of two generations of a worker's table.
@@ -285,6 +287,7 @@ def encode_decode(df: DataFrame, model: str, text: str = "text", only: tuple[str
 
     ``only`` names the result columns to make (all by default).
     """
+    bound_batches(df.sparkSession)
     wanted = [f for f in RESULT.fields if only is None or f.name in only]
     names = {f.name for f in wanted}
     carried = [f for f in df.schema.fields if f.name not in names and (keep_text or f.name != text)]

@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import _bits
-from ._store import fresh, stage
+from ._store import bound_batches, fresh, stage
 from ._words import Words, hash_runs, mix, slices, text_buffers, words_of
 
 WINDOW = 50
@@ -551,6 +551,7 @@ def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     from pyspark.sql.pandas.types import to_arrow_type
 
     spark = df.sparkSession
+    bound_batches(spark)
     df = df.drop(*[c for c in df.columns if c.lower() in ("n_words", "n_removed", "spans", "factors", "kept")])
     block, row = fresh(df, "_block", "_row")
     staged = stage(deal_blocks(df, text, block, row), "substrings")

@@ -39,6 +39,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ._store import bound_batches
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<!\[CDATA\[.*?(?:\]\]>|\Z)"
@@ -396,6 +398,7 @@ def extract(page: str | None) -> str:
 
 def extract_text(df: DataFrame, html: str = "html", keep_html: bool = False) -> DataFrame:
     """``df`` with ``text``, the main text; without ``html`` unless kept."""
+    bound_batches(df.sparkSession)
     carried = [f for f in df.schema.fields if f.name != "text" and (keep_html or f.name != html)]
     schema = T.StructType([*carried, T.StructField("text", T.StringType())])
 

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._store import new_path, stage
+from ._store import bound_batches, new_path, stage
 
 REVISIT_BYTES = 1000
 #: Compressed bytes of one chunk: the unit of reading.
@@ -250,6 +250,8 @@ def _writer(folder: str, suffix: str, rows: Iterator[dict], record, first=None):
 def write_arc(df: DataFrame, folder: str, version: int = 1, date: str = "20240101000000") -> DataFrame:
     """Writes (key long, url, payload string) as ARC captures; the manifest."""
 
+    bound_batches(df.sparkSession)
+
     def record(row, name, offset):
         body = (row["payload"] or "").encode("utf-8")
         key = "" if row["key"] is None else f"X-Capture-Key: {row['key']}\r\n"
