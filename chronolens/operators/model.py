@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from chronolens.functions.plan import feature_dim
 
@@ -205,16 +206,23 @@ def restrict(model: Model, mask) -> Model:
     return replace(model, ridge=replace(r, coef=np.where(keep, r.coef, 0.0), intercept=r.intercept + shift))
 
 
+def label_type(classes) -> T.DataType:
+    """The type of predictions: that of the labels."""
+    if all(isinstance(c, (bool, np.bool_)) for c in classes):
+        return T.BooleanType()
+    if all(isinstance(c, (int, np.integer)) for c in classes):
+        return T.LongType()
+    return T.StringType() if all(isinstance(c, str) for c in classes) else T.DoubleType()
+
+
 def decision(series: DataFrame, model: Model, mask=None) -> DataFrame:
     """Columns but x, ``scores`` (one a class; one for two classes or regression)
     and ``pred``."""
     model = restrict(model, mask)
     carried = [f for f in series.schema.fields if f.name not in ("x", "scores", "pred")]
     classes = model.classes
-    if classes is None:
-        kind = T.DoubleType()
-    else:
-        kind = T.StringType() if isinstance(classes[0], str) else T.LongType()
+    kind = T.DoubleType() if classes is None else label_type(classes)
+    arrow = to_arrow_type(kind)
     schema = T.StructType([*carried, T.StructField("scores", T.ArrayType(T.DoubleType())), T.StructField("pred", kind)])
     r = series.sparkSession.sparkContext.broadcast(model.ridge)
 
@@ -224,7 +232,7 @@ def decision(series: DataFrame, model: Model, mask=None) -> DataFrame:
             pred = pa.array(s[:, 0], pa.float64())
         else:
             index = (s[:, 0] > 0).astype(int) if len(classes) == 2 else s.argmax(1)
-            pred = pa.array([classes[i] for i in index], pa.string() if isinstance(classes[0], str) else pa.int64())
+            pred = pa.array([classes[i] for i in index], arrow)
         return [*[part.column(part.schema.get_field_index(c.name)) for c in carried], pa.array(list(s), pa.list_(pa.float64())), pred]
 
     return map_features(series, model.bank, score, schema, model.needed(mask))

@@ -88,6 +88,14 @@ def series_orders_monthly(spark, d):
     return s.select("id", F.size("x").alias("n"), F.round(total, 4).alias("total"), F.size(F.filter("x", lambda v: v != 0)).cast("long").alias("active_months"))
 
 
+@query("""SELECT 'events' AS source, count(*) FILTER (t BETWEEN 0 AND 29) AS inside, count(*) FILTER (t NOT BETWEEN 0 AND 29) AS outside, count(*) FILTER (t IS NULL) AS undated
+FROM (SELECT date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS t FROM events WHERE user_id IS NOT NULL)
+UNION ALL SELECT 'orders', count(*) FILTER (t BETWEEN 0 AND 79), count(*) FILTER (t NOT BETWEEN 0 AND 79), count(*) FILTER (t IS NULL)
+FROM (SELECT date_diff('month', DATE '1995-01-01', CAST(o_orderdate AS DATE)) AS t FROM orders WHERE o_custkey IS NOT NULL)""")
+def calendar_coverage(spark, d):
+    return src.coverage(spark, d)
+
+
 @query(f"WITH {q.CHANNELS} SELECT id, CAST(channel AS INT) AS channel, CAST(len(x) AS INT) AS n, round(list_sum(x), 6) AS total FROM channels")
 def channel_pivot(spark, d):
     s = src.events_channels(spark, d)
@@ -564,13 +572,15 @@ def fold_sizes(spark, d):
     return f.select("repeat", F.col("fold").cast("long").alias("fold"), (total - F.col("test")).alias("train"), "test")
 
 
-TOPS = "tops AS (SELECT CAST(r AS INT) AS repeat, CAST(k AS INT) AS fold, CAST(f AS INT) AS feature_index FROM (SELECT unnest(range(0, 2)) AS r), (SELECT unnest(range(0, 5)) AS k), (SELECT unnest(range(0, 200)) AS f) WHERE (f * f + k * 17 + r * 13) % 11 < 7)"
+TOPS = "tops AS (SELECT CAST(r AS INT) AS repeat, CAST(k AS INT) AS fold, CAST(f AS INT) AS feature_index FROM (SELECT unnest(range(0, 2)) AS r), (SELECT unnest(range(0, 5)) AS k), (SELECT unnest(range(0, 200)) AS f) WHERE (f * f + k * 17 + r * 13) % 11 < 7 OR f % 7 = 0 OR f % 7 = 1 AND (k + 2 * r) % 5 <> 0)"
 
 
 def _tops(spark):
     g = spark.range(2).select(F.col("id").cast("int").alias("repeat")).crossJoin(spark.range(5).select(F.col("id").cast("int").alias("fold")))
     g = g.crossJoin(spark.range(200).select(F.col("id").cast("int").alias("feature_index")))  # 2,000 rows
-    return g.where((F.col("feature_index") * F.col("feature_index") + F.col("fold") * 17 + F.col("repeat") * 13) % 11 < 7)
+    f, k, r = F.col("feature_index"), F.col("fold"), F.col("repeat")
+    # in all folds, in eight of ten, and in fewer
+    return g.where(((f * f + k * 17 + r * 13) % 11 < 7) | (f % 7 == 0) | ((f % 7 == 1) & ((k + 2 * r) % 5 != 0)))
 
 
 @query(f"WITH {TOPS} SELECT feature_index, CAST(count(*) AS BIGINT) AS count, round(count(*) / 10.0::DOUBLE, 6) AS fraction FROM tops GROUP BY 1")

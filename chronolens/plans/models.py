@@ -153,6 +153,38 @@ def regression_occlusion(spark, d):
     return o.groupBy("t").agg(F.avg("sensitivity").alias("sensitivity"))
 
 
+@query
+def regression_elimination(spark, d):
+    s = synthetic.regression(spark, 200)
+    m = model.fit_regressor(s.where("id % 4 <> 0"), **SMALL)
+    return selection.eliminate(m, s.where("id % 4 <> 0"), s.where("id % 4 = 0"), 0.3, 10)[0]
+
+
+@query
+def occlusion_by_row(spark, d):
+    """Sensitivity of six rows of the embeddings to each occluded timepoint."""
+    e = src.embeddings(spark, d)
+    m = model.fit_classifier(e, **SMALL)
+    return occlusion.occlusion(occlusion.pick_rows(e, 6, False), m)
+
+
+@query
+def predict_functions(spark, d):
+    """Confidence, a class's score and the label of every embedding, averaged by label."""
+    e = src.embeddings(spark, d)
+    m = model.fit_classifier(e, **SMALL)
+    out = None
+    for mode, target in (("confidence", None), ("target", m.classes[0]), ("predict", None)):
+        v = saliency.predict_column(m, mode, target)(e).groupBy("y").agg(F.avg("value").alias("value")).withColumn("mode", F.lit(mode))
+        out = v if out is None else out.unionByName(v)
+    return out
+
+
+@query
+def noise_search(spark, d):
+    return spark.createDataFrame([(0.1, synthetic.noise_for_error(spark, 0.1, 0.005, 12))], "target double, noise_std double")
+
+
 @query
 def bayes_error(spark, d):
     return synthetic.bayes_error(spark, noise_std=1.0)
@@ -214,6 +246,31 @@ def matched_power(spark, d):
     return spectral.power_spectrum(spectral.matched(t, picks, "condition"), 80.0, "rep", "condition").groupBy("condition", "freq").agg(F.avg("power").alias("power"))
 
 
+def _matched(spark, d, trials):
+    """Trials of three matched draws of two conditions."""
+    t = trials.withColumn("condition", (F.col("trial") % 2).cast("int"))
+    ids = t.select(F.col("trial").alias("id"), "condition").distinct()
+    return spectral.matched(t, sampling.match_trials(ids, "condition", 3), "condition")
+
+
+@query
+def matched_time_frequency(spark, d):
+    t = _matched(spark, d, _trials(spark, d).drop("channel")).withColumn("channel", F.col("condition") * 100 + F.col("rep"))
+    return spectral.hilbert_tfa(t.select("channel", "trial", "x"), 80.0, 10, 30, 3)
+
+
+@query
+def matched_mode_spectrum(spark, d):
+    modes = spectral.decompose(_trials(spark, d), 80.0, 3)
+    return spectral.marginal_spectrum(_matched(spark, d, modes), 0, 40, 20, "condition", "rep")
+
+
+@query
+def compared_panels(spark, d):
+    t = _trials(spark, d)
+    return spectral.compare_panels({n: spectral.hilbert_tfa(t.where(F.col("trial") % 2 == k), 80.0, 10, 30, 3) for k, n in enumerate(("even", "odd"))})
+
+
 @query
 def phase_amplitude(spark, d):
     return spectral.phase_amplitude(_trials(spark, d), 80.0, [(4.0, 8.0)], [(15.0, 25.0), (25.0, 35.0)])

@@ -38,35 +38,63 @@ def binned(rows: DataFrame, keys: Sequence[str], bin_: Column, value: Column, bi
     return made.select(*keys, x.alias("x"))
 
 
-EVENT_DAYS = 30
-ORDER_MONTHS = 80
+#: The calendars' first days and lengths, if the caller names no others.
+EVENT_START, EVENT_DAYS = "2024-01-01", 30
+ORDER_START, ORDER_MONTHS = "1995-01-01", 80
 
 
-def _day() -> Column:
-    return F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
+def _day(start: str) -> Column:
+    return F.datediff(F.to_date("ts"), F.lit(start).cast("date"))
 
 
-def events_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, x, y): each user's daily sums over 30 days; y = user modulo 3."""
+def _month(start: str) -> Column:
+    first = F.lit(start).cast("date")
+    return (F.year("o_orderdate") - F.year(first)) * 12 + F.month("o_orderdate") - F.month(first)
+
+
+def events_daily(spark: SparkSession, sf_dir: str, start: str = EVENT_START, days: int = EVENT_DAYS) -> DataFrame:
+    """(id, x, y): each user's daily sums over ``days``; y = user modulo 3.
+
+    Events outside of the calendar take no part; ``coverage`` counts them.
+    """
     t = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id IS NOT NULL")
-    s = binned(t, ["user_id"], _day(), F.coalesce("value", F.lit(0.0)), EVENT_DAYS)
+    s = binned(t, ["user_id"], _day(start), F.coalesce("value", F.lit(0.0)), days)
     return s.select(F.col("user_id").alias("id"), "x", (F.col("user_id") % 3).cast("int").alias("y"))
 
 
-def events_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def events_channels(spark: SparkSession, sf_dir: str, start: str = EVENT_START, days: int = EVENT_DAYS) -> DataFrame:
     """(id, channel, x, y): the same by event type."""
     t = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id IS NOT NULL AND event_type IS NOT NULL")
-    s = binned(t, ["user_id", "event_type"], _day(), F.coalesce("value", F.lit(0.0)), EVENT_DAYS)
+    s = binned(t, ["user_id", "event_type"], _day(start), F.coalesce("value", F.lit(0.0)), days)
     channel = F.when(F.col("event_type") == "click", 0).when(F.col("event_type") == "error", 1).when(F.col("event_type") == "purchase", 2)
     channel = channel.when(F.col("event_type") == "signup", 3).otherwise(4)
     return s.select(F.col("user_id").alias("id"), channel.alias("channel"), "x", (F.col("user_id") % 3).cast("int").alias("y"))
 
 
-def orders_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, x): each customer's monthly order totals, 1995-01 on, 80 months."""
+def orders_monthly(spark: SparkSession, sf_dir: str, start: str = ORDER_START, months: int = ORDER_MONTHS) -> DataFrame:
+    """(id, x): each customer's monthly order totals from ``start`` on."""
     t = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_custkey IS NOT NULL")
-    month = (F.year("o_orderdate") - 1995) * 12 + F.month("o_orderdate") - 1
-    return binned(t, ["o_custkey"], month, F.col("o_totalprice"), ORDER_MONTHS).select(F.col("o_custkey").alias("id"), "x")
+    return binned(t, ["o_custkey"], _month(start), F.col("o_totalprice"), months).select(F.col("o_custkey").alias("id"), "x")
+
+
+def coverage(
+    spark: SparkSession,
+    sf_dir: str,
+    event_start: str = EVENT_START,
+    days: int = EVENT_DAYS,
+    order_start: str = ORDER_START,
+    months: int = ORDER_MONTHS,
+) -> DataFrame:
+    """(source, inside, outside, undated): rows that the calendars hold and leave out."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id IS NOT NULL")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_custkey IS NOT NULL")
+    out = None
+    for name, rows, at, bins in (("events", events, _day(event_start), days), ("orders", orders, _month(order_start), months)):
+        inside = at.between(0, bins - 1)
+        row = rows.agg(F.count_if(inside).alias("inside"), F.count_if(~inside).alias("outside"), F.count_if(at.isNull()).alias("undated"))
+        row = row.select(F.lit(name).alias("source"), "inside", "outside", "undated")
+        out = row if out is None else out.union(row)
+    return out
 
 
 def points(series: DataFrame, *keys: str) -> DataFrame:

@@ -391,3 +391,24 @@ def test_scores_stream(spark, fitted, test_bumps, tmp_path):
     assert spark.table("scored").count() == 100
     with pytest.raises(ValueError):
         score_stream(test_bumps, fitted)
+
+
+@pytest.mark.parametrize("labels", [(False, True), (0.5, 1.5), ("a", "b"), (3, 7)])
+def test_predictions_have_the_labels_type(spark, labels):
+    rows = synthetic.bumps(spark, 60, seed=1).where("y < 2")
+    rows = rows.withColumn("y", F.when(F.col("y") == 0, F.lit(labels[0])).otherwise(F.lit(labels[1])))
+    m = model.fit_classifier(rows, num_features=168, max_dilations=8)
+    got = [r for r in model.predict(rows, m).collect()]
+    assert {type(r["pred"]) for r in got} == {type(labels[0])}
+    assert sum(r["pred"] == r["y"] for r in got) > 0.7 * len(got)
+
+
+def test_calendars_are_parameters(spark, tmp_path):
+
+    d = str(tmp_path)
+    spark.sql("SELECT 1L user_id, 'click' event_type, 2.0 value, timestamp '2024-01-02 00:00:00' ts UNION ALL SELECT 1L, 'click', 3.0, timestamp '2024-03-02 00:00:00'").write.parquet(f"{d}/events.parquet")
+    spark.sql("SELECT 1L o_custkey, 5.0 o_totalprice, date '1995-02-01' o_orderdate UNION ALL SELECT 2L, 1.0, date '1990-01-01'").write.parquet(f"{d}/orders.parquet")
+    assert [tuple(r) for r in src.coverage(spark, d).orderBy("source").collect()] == [("events", 1, 1, 0), ("orders", 1, 1, 0)]
+    assert sum(src.events_daily(spark, d).first()["x"]) == 2.0
+    assert src.events_daily(spark, d, "2024-03-01", 3).first()["x"] == [0.0, 3.0, 0.0]
+    assert src.orders_monthly(spark, d, "1990-01-01", 2).first()["x"] == [1.0, 0.0]
