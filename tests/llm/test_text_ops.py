@@ -348,6 +348,38 @@ def test_languages(spark):
     assert {(r["lang_pred"], r["score"]) for r in none} == {("und", 0.0)}
 
 
+def plain_mixture(p, c, steps=4000):
+    """Expectation-maximisation n-gram by n-gram, in plain Python."""
+    k = len(p)
+    w = [1.0 / k] * k
+    for _ in range(steps):
+        share = [0.0] * k
+        for g, n in enumerate(c):
+            total = sum(w[j] * p[j][g] for j in range(k))
+            for j in range(k):
+                share[j] += n * w[j] * p[j][g] / total
+        w = [x / sum(c) for x in share]
+    return w, sum(n * np.log(sum(w[j] * p[j][g] for j in range(k))) for g, n in enumerate(c))
+
+
+def test_mixtures_by_plain_em():
+    rng = np.random.Generator(np.random.PCG64(12))
+    for truth in ([1.0, 0.0, 0.0], [0.5, 0.5, 0.0], [0.2, 0.3, 0.5], [0.0, 0.85, 0.15]):
+        p = rng.dirichlet(np.full(30, 0.3), 3) * 0.99 + 0.01 / 30
+        g = rng.choice(30, 900, p=np.array(truth) @ p)
+        c = np.bincount(g, minlength=30).astype(float)
+        want, like = plain_mixture(p.tolist(), c.tolist())
+        got, found = op4_languages.em(p, c)
+        assert found <= like + 1e-6 and found > like - 0.01
+        assert np.abs(got - want).max() < 0.02
+        # the set with the best penalised likelihood of all sets
+        penalty = 0.5 * op4_languages.PENALTY * np.log(900)
+        sets = [[j for j in range(3) if m >> j & 1] for m in range(1, 8)]
+        best = max(sets, key=lambda s: plain_mixture(p[s].tolist(), c.tolist(), 400)[1] - penalty * (len(s) - 1))
+        chosen, w = op4_languages.infer(p, np.log(p), g)
+        assert sorted(chosen.tolist()) == best and abs(w.sum() - 1) < 1e-9
+
+
 # -- 5 -----------------------------------------------------------------------
 
 
