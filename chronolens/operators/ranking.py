@@ -30,11 +30,24 @@ def first_per_group(rows: DataFrame, group: str, n: int, order: str = "id") -> D
 
 
 def spread_by_target(rows: DataFrame, n: int, total: int) -> DataFrame:
-    """Every (total // n)-th row in order of the target, at most n."""
+    """Every (total // n)-th row in order of the target, at most n.
+
+    Ranges of the target between approximate quantiles are counted first; only
+    those that hold a wanted place are sorted, each by itself.
+    """
     step = max(1, total // n)
-    w = Window.orderBy("y", "id")
-    ranked = rows.withColumn("_r", F.row_number().over(w) - 1)
-    return ranked.where(F.col("_r") % step == 0).orderBy("_r").limit(n).drop("_r")
+    cuts = rows.select(F.percentile_approx("y", [i / 256 for i in range(1, 256)]).alias("c")).first()["c"] or []
+    at = F.array(*[F.lit(c) for c in sorted(set(cuts))])
+    # null targets come first, as in the order
+    bucket = F.when(F.col("y").isNull(), -1).otherwise(F.size(F.filter(at, lambda c: c <= F.col("y"))) if cuts else F.lit(0))
+    keyed = rows.withColumn("_b", bucket)
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # 257 rows at most
+    per = keyed.groupBy("_b").agg(F.count("*").alias("_n")).select("_b", "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"))
+    first = F.ceil(F.col("_o") / step) * step  # the first wanted place at or beyond the offset
+    per = per.where((first < F.col("_o") + F.col("_n")) & (first < n * step)).select("_b", "_o")
+    w = Window.partitionBy("_b").orderBy("y", "id")
+    found = keyed.join(F.broadcast(per), "_b").withColumn("_r", F.row_number().over(w) - 1 + F.col("_o"))
+    return found.where((F.col("_r") % step == 0) & (F.col("_r") < n * step)).orderBy("_r").limit(n).select(*rows.columns)
 
 
 def normalised(value: Column, *partition: str) -> Column:
