@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 
 def confusion(predictions: DataFrame, *keys: str) -> DataFrame:
     """(keys, y, pred, n): counts on the grid of all classes, zeros included."""
-    counts = predictions.groupBy(*keys, "y", "pred").agg(F.count("*").alias("n"))
+    return full_grid(predictions.groupBy(*keys, "y", "pred").agg(F.count("*").alias("n")), *keys)
+
+
+def full_grid(counts: DataFrame, *keys: str) -> DataFrame:
+    """Counts (keys, y, pred, n) with the zeros of all pairs of classes."""
     classes = counts.select(F.col("y").alias("c")).union(counts.select(F.col("pred").alias("c"))).distinct()
     grid = classes.select(F.col("c").alias("y")).crossJoin(classes.select(F.col("c").alias("pred")))  # classes squared
     if keys:
@@ -32,7 +36,11 @@ def mutual_information(cm: DataFrame, *keys: str, base: float = 2.0) -> DataFram
 
 def classification(predictions: DataFrame, *keys: str) -> DataFrame:
     """(keys, accuracy, balanced_accuracy, f1_macro, f1_weighted, mcc, mutual_info)."""
-    cm = confusion(predictions, *keys)
+    return of_confusion(confusion(predictions, *keys), *keys)
+
+
+def of_confusion(cm: DataFrame, *keys: str) -> DataFrame:
+    """The same metrics from a full confusion table."""
     on = list(keys)
     true = cm.groupBy(*on, F.col("y").alias("k")).agg(F.sum("n").alias("t"), F.sum(F.when(F.col("y") == F.col("pred"), F.col("n")).otherwise(0)).alias("tp"))
     pred = cm.groupBy(*on, F.col("pred").alias("k")).agg(F.sum("n").alias("p"))

@@ -117,7 +117,9 @@ def _moments(series: DataFrame, bank: Bank, classes, k: int) -> tuple[int, np.nd
     return n, s, g
 
 
-def _loo_pass(series: DataFrame, bank: Bank, classes):
+def _loo_pass(series: DataFrame, bank: Bank, classes, keep=None):
+    """Leave-one-out errors from rows, on all features or those of ``keep``."""
+
     def errors(n, mean, scale, ybar, v, w, rotated, alphas):
         sent = series.sparkSession.sparkContext.broadcast((n, mean, scale, ybar, v, w, rotated, alphas))
         schema = T.StructType([T.StructField("e", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType())])
@@ -125,6 +127,7 @@ def _loo_pass(series: DataFrame, bank: Bank, classes):
         def score(f, part):
             n, mean, scale, ybar, v, w, rotated, alphas = sent.value
             y = _target(part, classes)
+            f = f if keep is None else f[:, keep]
             zv = ((f - mean) / scale) @ v
             out = []
             for a in alphas:
@@ -132,7 +135,7 @@ def _loo_pass(series: DataFrame, bank: Bank, classes):
                 out.append(float((((y - ybar - zv @ (rotated / (w + a)[:, None])) / (1 - h)[:, None]) ** 2).sum()))
             return [pa.array([out], pa.list_(pa.float64())), pa.array([y.size], pa.int64())]
 
-        rows = map_features(series.select("x", "y"), bank, score, schema)
+        rows = map_features(series.select("x", "y"), bank, score, schema, None if keep is None else {int(i) // 4 for i in keep})
         sums = rows.select(F.posexplode("e").alias("a", "e"), "n").groupBy("a").agg((F.sum("e") / F.sum("n")).alias("e"))
         found = {r["a"]: r["e"] for r in sums.collect()}  # one row for each penalty
         return np.array([found[i] for i in range(len(alphas))])
@@ -141,7 +144,8 @@ def _loo_pass(series: DataFrame, bank: Bank, classes):
 
 
 def gather(series: DataFrame, bank: Bank, *columns: str) -> tuple[np.ndarray, list[list]]:
-    """Features (rows by id) and the given columns of a bounded number of rows."""
+    """Features (rows by id) and the given columns of rows that the caller has
+    counted and found to be few."""
     from .transform import transform
 
     table = transform(series.select("id", "x", *columns), bank).orderBy("id").toArrow()
@@ -154,14 +158,89 @@ def encode(y: list, classes) -> np.ndarray:
     return _target(batch, classes)
 
 
+class Refits:
+    """Ridge on any columns of one table's features.
+
+    Up to DUAL_ROWS rows their features are held here.  Beyond, tasks add up
+    moments and cross products once, every refit takes a part of that matrix, and
+    one pass over the rows gives its leave-one-out errors; no row comes here.
+    """
+
+    def __init__(self, series: DataFrame, bank: Bank, classes):
+        self.series, self.bank, self.classes = series, bank, classes
+        rows = series.count()
+        self.held = rows <= DUAL_ROWS and rows * bank.plan.width <= DUAL_VALUES
+        if self.held:
+            self.f, (_, y) = gather(series, bank, "y")
+            self.t = encode(y, classes)
+        else:
+            self.k = 1 if classes is None or len(classes) == 2 else len(classes)
+            self.n, self.s, self.g = _moments(series, bank, classes, self.k)
+
+    def fit(self, keep=None, alphas=None) -> ridge.Ridge:
+        """Ridge on the columns ``keep`` in their order; None: on all."""
+        if self.held:
+            return ridge.fit(self.f if keep is None else self.f[:, keep], self.t, alphas)
+        if keep is None:
+            return ridge.fit_moments(self.n, self.s, self.g, alphas, _loo_pass(self.series, self.bank, self.classes))
+        keep = np.asarray(keep, int)
+        at = np.concatenate([keep, self.bank.plan.width + np.arange(self.k)])
+        return ridge.fit_moments(self.n, self.s[at], self.g[np.ix_(at, keep)], alphas, _loo_pass(self.series, self.bank, self.classes, keep))
+
+
 def _fit(series: DataFrame, bank: Bank, classes, alphas) -> ridge.Ridge:
-    rows = series.count()
-    k = 1 if classes is None or len(classes) == 2 else len(classes)
-    if rows <= DUAL_ROWS and rows * bank.plan.width <= DUAL_VALUES:
-        f, (_, y) = gather(series, bank, "y")
-        return ridge.fit(f, encode(y, classes), alphas)
-    n, s, g = _moments(series, bank, classes, k)
-    return ridge.fit_moments(n, s, g, alphas, _loo_pass(series, bank, classes))
+    return Refits(series, bank, classes).fit(None, alphas)
+
+
+#: Coefficients that one pass of ``tallies`` sends to tasks.
+SENT_VALUES = 4_000_000
+
+
+def tallies(series: DataFrame, bank: Bank, classes, fits: list[tuple]) -> np.ndarray:
+    """What rows say of each fit, (columns or None, ridge): counts by label and
+    prediction (fits x classes x classes), or for numbers, about the fit's mean,
+    (rows, sum, sum of squares, squared errors).
+
+    Sums are made in tasks and added up by fit; one pass serves as many fits as
+    SENT_VALUES coefficients allow.
+    """
+    out, block, size = [], [], 0
+    for keep, r in fits:
+        if block and size + r.coef.size > SENT_VALUES:
+            out.append(_tally(series, bank, classes, block))
+            block, size = [], 0
+        block.append((keep, r))
+        size += r.coef.size
+    out.append(_tally(series, bank, classes, block))
+    return np.concatenate(out)
+
+
+def _tally(series: DataFrame, bank: Bank, classes, fits: list[tuple]) -> np.ndarray:
+    sent = series.sparkSession.sparkContext.broadcast(fits)
+    c = 0 if classes is None else len(classes)
+    schema = T.StructType([T.StructField("v", T.ArrayType(T.DoubleType()))])
+
+    def score(f, part):
+        t = _target(part, classes)
+        y = t[:, 0] if classes is None else (t[:, 0] > 0).astype(int) if c == 2 else t.argmax(1)
+        values = []
+        for keep, r in sent.value:
+            s = r.scores(f if keep is None else f[:, keep])
+            if classes is None:
+                away = y - r.intercept[0]
+                values += [len(y), away.sum(), (away**2).sum(), ((y - s[:, 0]) ** 2).sum()]
+            else:
+                pred = (s[:, 0] > 0).astype(int) if c == 2 else s.argmax(1)
+                values += np.bincount(y * c + pred, minlength=c * c).tolist()
+        return [pa.array([[float(v) for v in values]], pa.list_(pa.float64()))]
+
+    needed = None if any(keep is None for keep, _ in fits) else {int(i) // 4 for keep, _ in fits for i in keep}
+    rows = map_features(series.select("x", "y"), bank, score, schema, needed)
+    shape = (4,) if classes is None else (c, c)
+    out = np.zeros(len(fits) * int(np.prod(shape)))
+    for i, v in rows.select(F.posexplode("v")).groupBy("pos").agg(F.sum("col")).collect():  # a row for each fit and cell
+        out[i] = v
+    return out.reshape(len(fits), *shape)
 
 
 def fit_classifier(

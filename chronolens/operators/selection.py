@@ -11,9 +11,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import ridge
-from .metrics import classification, confusion, regression
-from .model import Model, encode, fit_classifier, fit_regressor, gather, predict
+from .metrics import full_grid, of_confusion, regression
+from .model import Model, Refits, fit_classifier, fit_regressor, predict, tallies
 from .ranking import elimination_schedule
 from .sampling import plain_folds, stratified_folds
 
@@ -24,22 +23,29 @@ def _fit(series: DataFrame, regression_: bool, **config) -> Model:
 
 def cross_validate(series: DataFrame, repeats: int = 10, folds: int = 10, seed: int = 42, is_regression: bool = False, **config) -> tuple[DataFrame, DataFrame | None]:
     """(metrics by repeat and fold, summed confusion).  Each fold is fitted anew,
-    biases included; each test row is predicted once and all metrics come from
-    the one table of predictions."""
+    biases included; each test row is predicted once, and of a fold only its counts
+    (or its metrics, for numbers) stay."""
     parts = plain_folds(series, repeats, folds, seed) if is_regression else stratified_folds(series, repeats, folds, seed)
     parts = parts.select("id", "repeat", "fold").persist()
-    out = None
+    spark, rows, schema = series.sparkSession, [], None
     for r in range(repeats):
         for k in range(folds):
             here = parts.where((F.col("repeat") == r) & (F.col("fold") == k)).select("id")
             train = series.join(here, "id", "left_anti")
             test = series.join(here, "id", "left_semi")
-            p = predict(test, _fit(train, is_regression, **config)).select("id", "y", "pred", F.lit(r).alias("repeat"), F.lit(k).alias("fold"))
-            out = p if out is None else out.unionByName(p)
-    out = out.persist()
+            p = predict(test, _fit(train, is_regression, **config)).select(F.lit(r).alias("repeat"), F.lit(k).alias("fold"), "y", "pred")
+            if is_regression:
+                found = regression(p, "repeat", "fold")
+            else:
+                found = p.groupBy("repeat", "fold", "y", "pred").agg(F.count("*").alias("n"))
+            rows += found.collect()  # classes squared, or one row
+            schema = found.schema
+    parts.unpersist()
     if is_regression:
-        return regression(out, "repeat", "fold"), None
-    return classification(out, "repeat", "fold"), confusion(out)
+        return spark.createDataFrame(rows, schema), None
+    counts = spark.createDataFrame(rows, schema)
+    total = counts.groupBy("y", "pred").agg(F.sum("n").alias("n"))
+    return of_confusion(full_grid(counts, "repeat", "fold"), "repeat", "fold"), full_grid(total)
 
 
 def fold_importance(series: DataFrame, repeats: int = 5, folds: int = 5, n_top: int = 50, seed: int = 42, is_regression: bool = False, **config) -> DataFrame:
@@ -53,6 +59,7 @@ def fold_importance(series: DataFrame, repeats: int = 5, folds: int = 5, n_top:
             imp = _fit(series.join(here, "id", "left_anti"), is_regression, **config).importance()
             order = np.lexsort((np.arange(len(imp)), -imp))[:n_top]
             rows += [(r, k, int(i), float(imp[i])) for i in order]
+    parts.unpersist()
     return spark.createDataFrame(rows, "repeat int, fold int, feature_index int, importance double")
 
 
@@ -102,35 +109,33 @@ def kneedle_index(values) -> int:
 def eliminate(model: Model, train: DataFrame, test: DataFrame, drop: float = 0.05, steps: int = 150, alphas=None, knee: str = "kneedle") -> tuple[DataFrame, dict]:
     """Recursive elimination: ((step, n_features, train_score, test_score), facts).
 
-    Features are computed once.  Each step keeps the most important ones and
-    refits on those columns.
+    Each step keeps the most important features and refits on those columns of one
+    table of features, or beyond its bound of one matrix of cross products; all
+    steps are scored together.
     """
     if knee not in ("kneedle", "threshold", "both"):
         raise ValueError("knee is 'kneedle', 'threshold' or 'both'")
     reg = model.classes is None
-    a, (_, ya) = gather(train, model.bank, "y")
-    b, (_, yb) = gather(test, model.bank, "y")
-    ta = np.asarray(ya, float)[:, None] if reg else encode(ya, model.classes)
+    refits = Refits(train, model.bank, model.classes)
 
-    def score(r, f, y):
-        s = r.scores(f)
+    def scores_of(series, fits):
+        found = tallies(series, model.bank, model.classes, fits)
         if reg:
-            y = np.asarray(y, float)
-            return 1 - ((y - s[:, 0]) ** 2).sum() / ((y - y.mean()) ** 2).sum()
-        at = (s[:, 0] > 0).astype(int) if len(model.classes) == 2 else s.argmax(1)
-        return float(np.mean([model.classes[i] == v for i, v in zip(at, y)]))
+            return [float(1 - e / (q - a * a / n)) if n and q > a * a / n else float("nan") for n, a, q, e in found]
+        return [float(np.trace(t) / t.sum()) if t.sum() else float("nan") for t in found]
 
     keep = np.arange(model.width)
     imp = model.importance()
     first = np.lexsort((np.arange(len(imp)), -imp))
-    rows, kept = [], []
+    kept, fits = [], []
     for step, m in enumerate(elimination_schedule(model.width, drop, steps)):
         order = np.lexsort((keep, -imp[: len(keep)] if step else -imp[keep]))
         keep = np.sort(keep[order[:m]])
-        r = ridge.fit(a[:, keep], ta, alphas)
+        r = refits.fit(keep, alphas)
         imp = np.sqrt((r.coef**2).sum(0))
-        rows.append((step, m, float(score(r, a[:, keep], ya)), float(score(r, b[:, keep], yb))))
+        fits.append((keep, r))
         kept.append(keep)
+    rows = [(i, len(k), a, b) for i, (k, a, b) in enumerate(zip(kept, scores_of(train, fits), scores_of(test, fits)))]
     scores = [r[3] for r in rows]
     at = {"kneedle": kneedle_index(scores), "threshold": threshold_knee(scores, reg)}
     facts = {"knee": at["kneedle" if knee == "both" else knee], "kept": kept, "full_ranking": first.tolist(), "full_score": model.classes and scores[0]}
@@ -216,11 +221,8 @@ def classify_information(groups: DataFrame, threshold: float) -> DataFrame:
     return groups.withColumn("contribution", c).withColumn("p", p).withColumn("kind", kind)
 
 
-def _mi(y, pred, classes) -> float:
-    at = {c: i for i, c in enumerate(classes)}
-    cm = np.zeros((len(classes), len(classes)))
-    for a, b in zip(y, pred):
-        cm[at[a], at[b]] += 1
+def _mi(cm: np.ndarray) -> float:
+    """Bits of mutual information of a confusion table."""
     p = cm / max(1.0, cm.sum())
     r, c = p.sum(1, keepdims=True), p.sum(0, keepdims=True)
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -228,39 +230,54 @@ def _mi(y, pred, classes) -> float:
     return float(t.sum())
 
 
+def _shuffled(cm: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """A confusion table as it is after shuffling the labels: labels dealt to
+    predictions without replacement, so the margins decide its law."""
+    left, out = cm.sum(1).astype(np.int64), np.zeros_like(cm)
+    for j, n in enumerate(cm.sum(0).astype(np.int64)):
+        out[:, j] = _dealt(left, int(n), rng)
+        left = left - out[:, j].astype(np.int64)
+    return out
+
+
+def _dealt(counts: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """How many of n draws without replacement come from each class."""
+    out, rest = np.zeros(len(counts), np.int64), int(counts.sum())
+    for i, c in enumerate(counts.tolist()):
+        rest -= c
+        out[i] = rng.hypergeometric(c, rest, n) if n else 0
+        n -= int(out[i])
+    return out
+
+
 def information_decomposition(model: Model, test: DataFrame, mask=None, by: str = "kernel", shuffles: int = 100, alphas=None, seed: int = 42) -> DataFrame:
     """(group, i_single, i_rest, i_all, contribution, p, kind).
 
     Group models are refitted on the test rows' masked features; the whole is the
-    model's own prediction.
+    model's own prediction.  Rows meet in counts only, the shuffled ones too.
     """
     from .model import importance_df
 
     spark = test.sparkSession
-    mask = list(range(model.width)) if mask is None else [int(m) for m in mask]
-    f, (_, y) = gather(test, model.bank, "y")
-    whole = model.ridge.scores(f)
-    f = f[:, sorted(mask)]
-
-    def labels(s):
-        at = (s[:, 0] > 0).astype(int) if len(model.classes) == 2 else s.argmax(1)
-        return [model.classes[i] for i in at]
-
-    t = encode(y, model.classes)
-    all_ = _mi(y, labels(whole), model.classes)
-    dim = importance_df(spark, model).where(F.col("feature_index").isin(mask)) if len(mask) < model.width else importance_df(spark, model)
+    mask = np.arange(model.width) if mask is None else np.array(sorted(int(m) for m in mask))
+    dim = importance_df(spark, model).where(F.col("feature_index").isin(mask.tolist())) if len(mask) < model.width else importance_df(spark, model)
     groups: dict[str, list[int]] = {}
     for g, p in feature_groups(dim, by).select("group", "position").orderBy("position").collect():  # the mask's rows
         groups.setdefault(g, []).append(p)
+
+    whole = tallies(test, model.bank, model.classes, [(None, model.ridge)])[0]
     rng = np.random.Generator(np.random.PCG64(seed))
-    null = [_mi(list(rng.permutation(np.array(y, dtype=object))), labels(whole), model.classes) for _ in range(shuffles)]
+    null = [_mi(_shuffled(whole, rng)) for _ in range(shuffles)]
     limit = float(np.mean(null) + 2 * np.std(null))
-    rows = []
-    for g, at in sorted(groups.items()):
-        rest = np.setdiff1d(np.arange(f.shape[1]), at)
-        one = _mi(y, labels(ridge.fit(f[:, at], t, alphas).scores(f[:, at])), model.classes)
-        loo = _mi(y, labels(ridge.fit(f[:, rest], t, alphas).scores(f[:, rest])), model.classes) if len(rest) else 0.0
-        rows.append((g, one, loo, all_))
+
+    refits = Refits(test, model.bank, model.classes)
+    fits, at = [], {}
+    for g, places in sorted(groups.items()):
+        rest = np.setdiff1d(np.arange(len(mask)), places)
+        at[g] = len(fits), len(fits) + 1 if len(rest) else None
+        fits += [(mask[p], refits.fit(mask[p], alphas)) for p in (places, rest) if len(p)]
+    told = [_mi(t) for t in tallies(test, model.bank, model.classes, fits)]
+    rows = [(g, told[one], 0.0 if rest is None else told[rest], _mi(whole)) for g, (one, rest) in at.items()]
     return classify_information(spark.createDataFrame(rows, "group string, i_single double, i_rest double, i_all double"), limit)
 
 

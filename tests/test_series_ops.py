@@ -231,6 +231,77 @@ def test_elimination(spark, fitted, bumps, test_bumps):
     assert {"knee_kneedle", "knee_threshold"} <= set(facts)
 
 
+@pytest.mark.parametrize("regress", [False, True])
+def test_elimination_without_rows_on_the_driver(spark, monkeypatch, regress):
+    s = synthetic.regression(spark, 500, 40) if regress else synthetic.bumps(spark, 500, 24, centers=(6, 12, 18))
+    m = (model.fit_regressor if regress else model.fit_classifier)(s, num_features=84, max_dilations=1)
+    train, test = s.where("id % 3 <> 0"), s.where("id % 3 = 0")
+    a, fa = selection.eliminate(m, train, test, 0.5, 4, [1.0, 100.0])
+    f, (_, y) = model.gather(test, m.bank, "y")
+    r = ridge.fit(model.gather(train, m.bank, "y")[0][:, fa["kept"][2]], model.encode(model.gather(train, m.bank, "y")[1][1], m.classes), [1.0, 100.0])
+    scores = r.scores(f[:, fa["kept"][2]])
+    if regress:
+        want = 1 - ((np.array(y) - scores[:, 0]) ** 2).sum() / ((np.array(y) - np.mean(y)) ** 2).sum()
+    else:
+        want = np.mean([m.classes[i] == v for i, v in zip(scores.argmax(1), y)])
+    assert a.where("step = 2").first().test_score == pytest.approx(want)
+    monkeypatch.setattr(model, "DUAL_ROWS", 0)
+    monkeypatch.setattr(model, "gather", None)
+    monkeypatch.setattr(model, "SENT_VALUES", 100)
+    b, fb = selection.eliminate(m, train, test, 0.5, 4, [1.0, 100.0])
+    assert [k.tolist() for k in fa["kept"]] == [k.tolist() for k in fb["kept"]]
+    for x, z in zip(a.orderBy("step").collect(), b.orderBy("step").collect()):
+        assert x.n_features == z.n_features and x.train_score == pytest.approx(z.train_score, abs=0.01) and x.test_score == pytest.approx(z.test_score, abs=0.01)
+
+
+def test_information_without_rows_on_the_driver(spark, monkeypatch):
+    s = synthetic.bumps(spark, 400, 24, centers=(6, 12, 18))
+    m = model.fit_classifier(s, num_features=84, max_dilations=1)
+    a = selection.information_decomposition(m, s, range(0, 84, 9), "individual", 10, [1.0]).orderBy("group").collect()
+    monkeypatch.setattr(model, "DUAL_ROWS", 0)
+    monkeypatch.setattr(model, "gather", None)
+    b = selection.information_decomposition(m, s, range(0, 84, 9), "individual", 10, [1.0]).orderBy("group").collect()
+    assert [r.group for r in a] == [r.group for r in b]
+    assert np.allclose([(r.i_single, r.i_rest, r.i_all) for r in a], [(r.i_single, r.i_rest, r.i_all) for r in b], atol=0.02)
+
+
+def test_shuffled_confusion():
+    """The law of shuffled labels: margins stay, cells have their hypergeometric mean."""
+    cm = np.array([[5, 1, 0], [2, 6, 1], [0, 0, 3]])
+    rng = np.random.Generator(np.random.PCG64(1))
+    drawn = np.array([selection._shuffled(cm, rng) for _ in range(2000)])
+    assert (drawn.sum(2) == cm.sum(1)).all() and (drawn.sum(1) == cm.sum(0)).all()
+    y = np.repeat([0, 1, 2], cm.sum(1))
+    pred = np.concatenate([np.repeat([0, 1, 2], row) for row in cm])
+    plain = []
+    for _ in range(2000):
+        t = np.zeros((3, 3))
+        np.add.at(t, (rng.permutation(y), pred), 1)
+        plain.append(t)
+    assert np.allclose(drawn.mean(0), np.mean(plain, 0), atol=0.15) and np.allclose(drawn.var(0), np.var(plain, 0), atol=0.2)
+
+
+def test_places_by_bucket(spark):
+    """Ranks with nulls, ties and other types of id equal those of one sort."""
+    rows = [(i, None if i % 7 == 0 else i % 3, float(i % 5) if i % 11 else None) for i in range(700)]
+    s = spark.createDataFrame(rows, "id long, g int, y double")
+    got = {r.id: r._r for r in sampling.by_digest(s, ["g"], sampling.digest(1, "t", "id")).collect()}
+    import hashlib
+
+    for g in (None, 0, 1, 2):
+        ids = sorted((i for i, k, _ in rows if k == g), key=lambda i: (hashlib.md5(f"1:t:{i}".encode()).hexdigest(), i))
+        assert [got[i] for i in ids] == list(range(1, len(ids) + 1))
+    text = s.withColumn("id", F.format_string("n%05d", "id"))
+    assert [r._r for r in sampling.by_id(s).orderBy("id").collect()] == list(range(1, 701))
+    assert [r._r for r in sampling.by_id(text).orderBy("id").collect()] == list(range(1, 701))
+    assert sampling.by_id(s.limit(0)).count() == 0
+    order = sorted(rows, key=lambda r: (r[2] is not None, r[2] or 0.0, r[0]))
+    for n in (1, 6, 699, 700):
+        want = [r[0] for k, r in enumerate(order) if k % (700 // n) == 0][:n]
+        assert [r.id for r in ranking.spread_by_target(s, n, 700).collect()] == want
+    assert ranking.spread_by_target(s.limit(0), 5, 0).count() == 0
+
+
 def test_threshold_knees():
     assert selection.threshold_knee([0.9, 0.8, 0.895, 0.5]) == 2
     assert selection.threshold_knee([0.9, 0.8, 0.899, 0.5], True) == 0
