@@ -18,7 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from chronolens.functions.plan import feature_dim
 
 from . import ridge
-from .transform import Bank, fit_bank, map_features, oversample
+from .transform import Bank, bound_batches, fit_bank, map_features, oversample
 
 #: Rows times features up to which rows are gathered for the dual form.
 DUAL_VALUES = 200_000_000
@@ -63,43 +63,60 @@ def _target(batch: pa.RecordBatch, classes) -> np.ndarray:
     return np.where(np.arange(len(classes))[None, :] == index[:, None], 1.0, -1.0)
 
 
+#: Bytes of cross products that a task holds in one pass over the rows.
+PASS_BYTES = 256 << 20
+#: Bytes of one block of rows of the matrix on its way.
+BLOCK_BYTES = 1 << 20
+
+
 def _moments(series: DataFrame, bank: Bank, classes, k: int) -> tuple[int, np.ndarray, np.ndarray]:
     """(rows, sums, cross products), added up in tasks, then by blocks of rows
-    of the matrix."""
+    of the matrix.
+
+    A pass makes as many rows of the matrix as PASS_BYTES hold; making features
+    again costs little beside their products.  As each task sends its share of the
+    matrix, there are no more than two tasks a core.
+    """
+    context = series.sparkSession.sparkContext
+    bound_batches(series.sparkSession, 4 * BLOCK_BYTES)
     p = bank.plan.width
-    size = 256
+    rows = max(1, PASS_BYTES // (8 * p))
+    few = series.select("x", "y").coalesce(2 * context.defaultParallelism)
+    sent = context.broadcast((bank.plan, bank.biases))
+    n, s, g = 0, np.zeros(p + k), np.zeros((p + k, p))
+    for lo in range(0, p + k, rows):
+        for r in _moments_pass(few, sent, classes, p, k, lo, lo + rows).toLocalIterator():
+            n = r["n"]
+            part = np.frombuffer(r["s"])
+            s[r["b"] : r["b"] + len(part)] = part
+            g[r["b"] : r["b"] + len(part)] = np.frombuffer(r["g"]).reshape(len(part), p)
+    return n, s, g
 
-    def accumulate(batches, features_of):
-        m = ridge.Moments(p, k)
-        for f, y in features_of(batches):
-            m.add(f, y)
-        return m
 
-    sent = series.sparkSession.sparkContext.broadcast((bank.plan, bank.biases))
+def _moments_pass(series: DataFrame, sent, classes, p: int, k: int, lo: int, hi: int) -> DataFrame:
+    size = max(1, BLOCK_BYTES // (8 * p))
 
     def run(batches):
         from .transform import STEP_VALUES, _rows, bank_features
 
         plan, biases = sent.value
         step = max(1, STEP_VALUES // plan.width)
-
-        def features_of(batches):
-            for batch in batches:
-                for j in range(0, batch.num_rows, step):
-                    part = batch.slice(j, step)
-                    yield bank_features(_rows(part.column(part.schema.get_field_index("x")), plan.length), plan, biases), _target(part, classes)
-
-        m = accumulate(batches, features_of)
+        m = ridge.Moments(p, k, lo, hi)
+        for batch in batches:
+            for j in range(0, batch.num_rows, step):
+                part = batch.slice(j, step)
+                m.add(bank_features(_rows(part.column(part.schema.get_field_index("x")), plan.length), plan, biases), _target(part, classes))
         if m.n:
-            for b in range(0, p + k, size):
+            for b in range(0, m.hi - m.lo, size):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([b], pa.int32()), pa.array([m.n], pa.int64()), pa.array([m.s[b : b + size].tobytes()]), pa.array([m.g[b : b + size].tobytes()])], names=["b", "n", "s", "g"]
+                    [pa.array([lo + b], pa.int32()), pa.array([m.n], pa.int64()), pa.array([m.s[b : b + size].tobytes()]), pa.array([m.g[b : b + size].tobytes()])], names=["b", "n", "s", "g"]
                 )
 
     def add(batches):
         held: dict = {}
         for batch in batches:
-            for b, n, s, g in zip(*[c.to_pylist() for c in batch.columns]):
+            for i in range(batch.num_rows):
+                b, n, s, g = (c[i].as_py() for c in batch.columns)
                 h = held.setdefault(b, [0, 0.0, 0.0])
                 h[0] += n
                 h[1] = h[1] + np.frombuffer(s)
@@ -108,13 +125,7 @@ def _moments(series: DataFrame, bank: Bank, classes, k: int) -> tuple[int, np.nd
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([n], pa.int64()), pa.array([s.tobytes()]), pa.array([g.tobytes()])], names=["b", "n", "s", "g"])
 
     schema = "b int, n long, s binary, g binary"
-    n, s, g = 0, np.zeros(p + k), np.zeros((p + k, p))
-    for r in series.select("x", "y").mapInArrow(run, schema).repartition(F.col("b")).mapInArrow(add, schema).toLocalIterator():
-        n = r["n"]
-        part = np.frombuffer(r["s"])
-        s[r["b"] : r["b"] + len(part)] = part
-        g[r["b"] : r["b"] + len(part)] = np.frombuffer(r["g"]).reshape(len(part), p)
-    return n, s, g
+    return series.mapInArrow(run, schema).repartition(F.col("b")).mapInArrow(add, schema)
 
 
 def _loo_pass(series: DataFrame, bank: Bank, classes, keep=None):

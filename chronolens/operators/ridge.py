@@ -86,20 +86,23 @@ def fit(x: np.ndarray, y: np.ndarray, alphas=None, scaled: tuple[np.ndarray, np.
 
 
 class Moments:
-    """Counts, sums and cross products of (features, targets); they add up."""
+    """Counts, sums and cross products of (features, targets); they add up.
 
-    def __init__(self, p: int, k: int):
+    Of the matrix of cross products only rows ``lo`` to ``hi``, if given.
+    """
+
+    def __init__(self, p: int, k: int, lo: int = 0, hi: int | None = None):
+        self.lo, self.hi = lo, p + k if hi is None else min(hi, p + k)
         self.n = 0
-        self.s = np.zeros(p + k)
-        self.g = np.zeros((p + k, p))
-        self.yy = np.zeros(k)
+        self.s = np.zeros(self.hi - self.lo)
+        self.g = np.zeros((self.hi - self.lo, p))
 
     def add(self, x: np.ndarray, y: np.ndarray) -> None:
         both = np.concatenate([x, y], 1, dtype=np.float64)
+        here = both[:, self.lo : self.hi]
         self.n += len(x)
-        self.s += both.sum(0)
-        self.g += both.T @ both[:, : x.shape[1]]
-        self.yy += (y * y).sum(0)
+        self.s += here.sum(0)
+        self.g += here.T @ both[:, : x.shape[1]]
 
 
 def fit_moments(n: int, s: np.ndarray, g: np.ndarray, alphas, loo_errors) -> Ridge:

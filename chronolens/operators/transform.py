@@ -139,6 +139,13 @@ def _rows(column: pa.Array, length: int) -> np.ndarray:
     return x
 
 
+def bound_batches(spark, size: int) -> None:
+    """Bounds Arrow batches by bytes, unless the session has a bound."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(size))
+
+
 #: Feature values that one step of the bulk stage holds.
 STEP_VALUES = 2_000_000
 

@@ -172,6 +172,10 @@ def test_primal_equals_dual(spark, monkeypatch):
     a = model._fit(s, bank, [0, 1, 2], [1.0, 100.0])
     monkeypatch.setattr(model, "DUAL_ROWS", 0)
     b = model._fit(s, bank, [0, 1, 2], [1.0, 100.0])
+    monkeypatch.setattr(model, "PASS_BYTES", 8 * 200 * bank.plan.width)  # several passes, several blocks
+    monkeypatch.setattr(model, "BLOCK_BYTES", 8 * 37 * bank.plan.width)
+    c = model._fit(s, bank, [0, 1, 2], [1.0, 100.0])
+    assert c.alpha == b.alpha and np.allclose(b.coef, c.coef, atol=1e-9)
     assert a.alpha == b.alpha and np.allclose(a.loo, b.loo, rtol=1e-3) and np.allclose(a.coef, b.coef, atol=1e-3)
 
 
