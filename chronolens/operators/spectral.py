@@ -298,8 +298,12 @@ def phase_amplitude(trials: DataFrame, srate: float, phases: list[tuple[float, f
 
 def matched(trials: DataFrame, matches: DataFrame, condition: str) -> DataFrame:
     """Trials of each (rep, condition) draw: a join by id, then any summary with
-    ``rep`` and the condition among its keys."""
-    return matches.join(trials.withColumnRenamed("trial", "id"), ["id", condition]).withColumnRenamed("id", "trial")
+    ``rep`` and the condition among its keys.
+
+    A merge join whatever the estimates say: Spark can't know how many rows an
+    Arrow stage makes of a trial, and would send them all through the driver.
+    """
+    return matches.join(trials.withColumnRenamed("trial", "id").hint("merge"), ["id", condition]).withColumnRenamed("id", "trial")
 
 
 def sift(x: np.ndarray, max_imfs: int = 8, rounds: int = 10) -> list[np.ndarray]:
@@ -358,3 +362,17 @@ def marginal_spectrum(modes: DataFrame, lo: float = 0, hi: float = 100, bins: in
     s = modes.withColumn("bin", frequency_bin(F.col("frequency"), lo, hi, bins)).where("bin IS NOT NULL").groupBy(*keys, "bin").agg(F.sum("amplitude").alias("a"))
     j = s.join(F.broadcast(n), list(keys)) if keys else s.crossJoin(F.broadcast(n))  # a row for each condition
     return j.select(*keys, "bin", (F.col("a") / F.col("n")).alias("amplitude"))
+
+
+def matched_spectrum(modes: DataFrame, matches: DataFrame, condition: str, lo: float = 0, hi: float = 100, bins: int = 100) -> DataFrame:
+    """(condition, rep, bin, amplitude): ``marginal_spectrum`` of each draw.
+
+    Modes are computed once and become an array of ``bins`` sums a trial before
+    they meet the draws; bins that no trial of a draw reaches are left out.
+    """
+    b = modes.withColumn("bin", frequency_bin(F.col("frequency"), lo, hi, bins))
+    per = b.groupBy("trial", condition, "bin").agg(F.sum("amplitude").alias("a"))
+    made = per.groupBy("trial", condition).agg(F.map_from_entries(F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", "a")))).alias("m"))
+    spectra = made.select("trial", condition, F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.element_at("m", k)).alias("x"))
+    rows = matched(spectra, matches, condition).select(condition, "rep", F.posexplode("x").alias("bin", "a"))
+    return rows.groupBy(condition, "rep", "bin").agg((F.sum("a") / F.count("*")).alias("amplitude")).where("amplitude IS NOT NULL")

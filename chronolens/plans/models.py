@@ -261,8 +261,11 @@ def matched_time_frequency(spark, d):
 
 @query
 def matched_mode_spectrum(spark, d):
-    modes = spectral.decompose(_trials(spark, d), 80.0, 3)
-    return spectral.marginal_spectrum(_matched(spark, d, modes), 0, 40, 20, "condition", "rep")
+    t = _trials(spark, d)
+    condition = (F.col("trial") % 2).cast("int").alias("condition")
+    picks = sampling.match_trials(t.select(F.col("trial").alias("id"), condition).distinct(), "condition", 3)
+    modes = spectral.decompose(t, 80.0, 3).select("*", condition)
+    return spectral.matched_spectrum(modes, picks, "condition", 0, 40, 20)
 
 
 @query

@@ -487,3 +487,28 @@ def test_calendars_are_parameters(spark, tmp_path):
     assert sum(src.events_daily(spark, d).first()["x"]) == 2.0
     assert src.events_daily(spark, d, "2024-03-01", 3).first()["x"] == [0.0, 3.0, 0.0]
     assert src.orders_monthly(spark, d, "1990-01-01", 2).first()["x"] == [1.0, 0.0]
+
+
+def test_matched_spectrum(spark):
+    rng = np.random.default_rng(4)
+    trials = spark.createDataFrame([(i, rng.normal(size=40).cumsum().tolist()) for i in range(30)] + [(30, [0.0] * 40)], "trial long, x array<double>")
+    modes = spectral.decompose(trials, 80.0, 3).withColumn("condition", (F.col("trial") % 2).cast("int")).cache()
+    picks = sampling.match_trials(trials.select(F.col("trial").alias("id"), (F.col("trial") % 2).cast("int").alias("condition")), "condition", 3, 0.9).cache()
+    want = spectral.marginal_spectrum(spectral.matched(modes, picks, "condition"), 0, 30, 20, "condition", "rep")
+    got = spectral.matched_spectrum(modes, picks, "condition", 0, 30, 20)
+    assert got.schema.simpleString() == want.schema.simpleString()
+    a, b = (sorted(map(tuple, t.collect())) for t in (got, want))
+    assert [r[:3] for r in a] == [r[:3] for r in b] and len(a) > 60
+    np.testing.assert_allclose([r[3] for r in a], [r[3] for r in b], rtol=1e-9)
+
+
+def test_modes_stay_off_the_driver(spark, tmp_path):
+    """One decomposition, and no broadcast of what an Arrow stage makes, however small it is thought to be."""
+    from chronolens.plans import QUERIES
+
+    spark.sql("SELECT id % 7 o_custkey, 5.0 + id o_totalprice, date_add(date '1995-02-01', cast(id as int)) o_orderdate FROM range(300)").write.parquet(f"{tmp_path}/orders.parquet")
+    plan = QUERIES["matched_mode_spectrum"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    join = spectral.matched(spark.range(5).selectExpr("id trial", "0 c"), spark.range(5).selectExpr("id", "0 c", "0 rep"), "c")
+    plan = join._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
