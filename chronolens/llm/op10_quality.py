@@ -9,8 +9,9 @@ document reaches.  Nothing is drawn at random: equal input gives equal verdicts.
 Steps: (1) one pass counts the n-grams of all documents, and of the trusted
 ones, into two tables of fixed size; (2) one pass computes counts and ratios of
 all documents; (3) the threshold is a quantile of the trusted documents' ratios.
-Trusted documents are labelled rows; a sample bounded by ``trusted_rows`` is used
-(those with the least digest of their id).  The corpus counts cover every row.
+Trusted documents are all rows that a label calls good.  Their texts meet the
+labels in a shuffle, which a bit table of fixed size keeps most other texts out
+of; neither ids nor scores are gathered, and the quantile is exact.
 
 Defined results
   * null or empty text: all counts 0, base_failed, not kept;
@@ -34,7 +35,10 @@ from ._store import bound_batches, fresh, stage
 from ._words import SEPARATOR, grams, slices, words_of
 
 TABLE_BITS = 16
-TRUSTED_ROWS = 20_000
+#: Bits of the table that tells most other ids from trusted ones (the join is exact).
+SIEVE_BITS = 24
+#: Keys a rank is looked up among on the driver; above, their bits are counted.
+HELD = 1 << 14
 #: Share of the trusted documents that may lie below the threshold.
 TRUSTED_LOSS = 0.002
 #: Distance kept below that quantile, in nats for an n-gram.
@@ -58,52 +62,64 @@ def _bytes(raw, offsets, i):
     return raw[offsets[i] : offsets[i + 1]]
 
 
-def corpus_counts(df: DataFrame, trusted: set[int], doc_id: str = "doc_id", text: str = "text") -> tuple[np.ndarray, np.ndarray]:
-    """(all, trusted) n-gram counts: two tables of 2**TABLE_BITS numbers."""
-    ids = df.sparkSession.sparkContext.broadcast(np.array(sorted(trusted), np.int64))  # at most trusted_rows ids
+def trusted_ids(labels: DataFrame, kind: T.DataType) -> DataFrame:
+    """(doc_id) of every trusted document, once."""
+    good = labels.where("quality = 1").select(F.col("doc_id").cast(kind).alias("doc_id"))
+    return stage(good.where("doc_id IS NOT NULL").distinct(), "trusted")
+
+
+def _trusted_rows(df: DataFrame, trusted: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, text) of the rows whose id is in ``trusted``."""
+    word, bits = fresh(df, "_word", "_bits")
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << SIEVE_BITS))
+    bit = lambda c: F.pmod(place(c), F.lit(64)).cast("int")
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), bit(F.col("doc_id")))
+    sieve = trusted.groupBy(F.shiftright(place(F.col("doc_id")), 6).alias(word)).agg(F.bit_or(mask).alias(bits))
+    rows = df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    near = rows.join(F.broadcast(sieve), F.shiftright(place(F.col("doc_id")), 6) == F.col(word))  # at most 2**SIEVE_BITS / 64 rows
+    near = near.where(F.call_function("getbit", F.col(bits), bit(F.col("doc_id"))) == 1).select("doc_id", "text")
+    return near.join(trusted.hint("shuffle_hash"), "doc_id")  # a semi join would be moved below the sieve
+
+
+def gram_counts(df: DataFrame, text: str = "text") -> np.ndarray:
+    """n-gram counts of all texts: a table of 2**TABLE_BITS numbers."""
 
     def count(batches):
         every = np.zeros(1 << TABLE_BITS, np.int64)
-        good = np.zeros(1 << TABLE_BITS, np.int64)
-        known = ids.value
         for batch in batches:
             for part, raw, offsets in slices(batch, text):
-                key = part.column(part.schema.get_field_index(doc_id)).to_pylist()
-                mine = np.isin(np.array([-1 if k is None else k for k in key], np.int64), known)
-                mine &= np.array([k is not None for k in key], bool)
                 for i in range(part.num_rows):
-                    c = np.bincount(gram_ids(_bytes(raw, offsets, i)), minlength=1) if offsets[i + 1] - offsets[i] >= 3 else None
-                    if c is None:
-                        continue
-                    every[: len(c)] += c
-                    if mine[i]:
-                        good[: len(c)] += c
+                    if offsets[i + 1] - offsets[i] >= 3:
+                        c = np.bincount(gram_ids(_bytes(raw, offsets, i)), minlength=1)
+                        every[: len(c)] += c
         size = 1 << 12
         for k in range(0, 1 << TABLE_BITS, size):
-            e, g = every[k : k + size], good[k : k + size]
+            e = every[k : k + size]
             if e.any():
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([e.tobytes()]), pa.array([g.tobytes()])], names=["k", "e", "g"])
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([e.tobytes()])], names=["k", "e"])
 
     def add(batches):
-        sums: dict[int, list] = {}
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for k, e, g in zip(*[c.to_pylist() for c in batch.columns]):
-                s = sums.setdefault(k, [0, 0])
-                s[0] = s[0] + np.frombuffer(e, np.int64)
-                s[1] = s[1] + np.frombuffer(g, np.int64)
-        for k, (e, g) in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([e.tobytes()]), pa.array([g.tobytes()])], names=["k", "e", "g"])
-
-    schema = "k int, e binary, g binary"
-    parts = df.select(doc_id, text).mapInArrow(count, schema)
-    summed = parts.repartition(1 << (TABLE_BITS - 12), "k").mapInArrow(add, schema)
+            for k, e in zip(*[c.to_pylist() for c in batch.columns]):
+                sums[k] = sums.get(k, 0) + np.frombuffer(e, np.int64)
+        for k, e in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([e.tobytes()])], names=["k", "e"])
+
+    parts = df.select(text).mapInArrow(count, "k int, e binary")
+    summed = parts.repartition(1 << (TABLE_BITS - 12), "k").mapInArrow(add, "k int, e binary")
     every = np.zeros(1 << TABLE_BITS, np.int64)
-    good = np.zeros(1 << TABLE_BITS, np.int64)
-    for r in summed.collect():  # tables of fixed size
+    for r in summed.collect():  # a table of fixed size
         e = np.frombuffer(r["e"], np.int64)
         every[r["k"] : r["k"] + len(e)] += e
-        good[r["k"] : r["k"] + len(e)] += np.frombuffer(r["g"], np.int64)
-    return every, good
+    return every
+
+
+def corpus_counts(df: DataFrame, trusted: DataFrame | set[int], doc_id: str = "doc_id", text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """(all, trusted) n-gram counts; ``trusted`` holds distinct ids."""
+    if not isinstance(trusted, DataFrame):
+        trusted = df.sparkSession.createDataFrame([(i,) for i in trusted if i is not None], T.StructType([T.StructField("doc_id", df.schema[doc_id].dataType)]))
+    return gram_counts(df, text), gram_counts(_trusted_rows(df, trusted, doc_id, text))
 
 
 def log_ratio(every: np.ndarray, good: np.ndarray) -> np.ndarray:
@@ -204,30 +220,57 @@ def measure(df: DataFrame, ratio: np.ndarray, text: str = "text", keep_text: boo
     return df.mapInArrow(run, schema)
 
 
-def trusted_sample(labels: DataFrame, rows: int = TRUSTED_ROWS) -> set[int]:
-    """Ids of at most ``rows`` trusted documents: the least digests."""
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    picked = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return {r[0] for r in picked.collect()}
-
+def _keys(scores: DataFrame) -> DataFrame:
+    """(k): whole numbers in the order of the one column's doubles."""
 
-def quality(df: DataFrame, labels: DataFrame, trusted_rows: int = TRUSTED_ROWS, loss: float = TRUSTED_LOSS, keep_text: bool = True) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            i = np.asarray(batch.column(0)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(i < 0, i ^ np.int64(2**63 - 1), i))], names=["k"])
+
+    return scores.mapInArrow(run, "k long")
+
+
+def _nth(keys: DataFrame, rank: int) -> float:
+    """The double of that rank, from 0: 16 bits more with each pass."""
+    for shift in (48, 32, 16, 0):
+        place = F.shiftright("k", shift)
+        for key, n in sorted(map(tuple, keys.groupBy(place).count().collect())):  # 2**16 places at most
+            if rank < n:
+                break
+            rank -= n
+        keys = keys.where(place == key)
+        if n <= HELD:
+            key = sorted(r[0] for r in keys.collect())[rank]
+            break
+    i = np.array([key], np.int64)
+    return float(np.where(i < 0, i ^ np.int64(2**63 - 1), i).view(np.float64)[0])
+
+
+def quantile(scores: DataFrame, share: float) -> float | None:
+    """``np.quantile`` of the one column of doubles, exact, without gathering it."""
+    n = scores.count()
+    if not n:
+        return None
+    keys, at = _keys(scores), share * (n - 1)
+    low = min(int(at), n - 1)
+    return float(np.quantile([_nth(keys, low), _nth(keys, min(low + 1, n - 1))], at - low))
+
+
+def quality(df: DataFrame, labels: DataFrame, loss: float = TRUSTED_LOSS, keep_text: bool = True) -> DataFrame:
     """``df`` (doc_id, text, ...) with counts, score, base_failed and kept."""
-    spark = df.sparkSession
-    bound_batches(spark)
-    trusted = trusted_sample(labels, trusted_rows)
+    bound_batches(df.sparkSession)
+    trusted = trusted_ids(labels, df.schema["doc_id"].dataType)
     every, good = corpus_counts(df, trusted)
     weights = log_ratio(every, good)
     measured = measure(df, weights, keep_text=keep_text)
     slim = stage(measured, "quality")
     threshold = float("-inf")
-    if trusted and good.sum():
-        t = fresh(df, "_trusted")[0]
-        ids = spark.createDataFrame([(i,) for i in sorted(trusted)], f"`{t}` long")
-        # at most trusted_rows scores
-        scores = [r[0] for r in slim.join(F.broadcast(ids), F.col("doc_id") == F.col(t)).where("NOT base_failed").groupBy(t).agg(F.min("score")).select("min(score)").collect()]
-        if scores:
-            threshold = float(np.quantile(np.array(scores), loss)) - MARGIN
+    if good.sum():
+        of = slim.where("NOT base_failed").select("doc_id", "score").join(trusted, "doc_id", "left_semi")
+        least = quantile(stage(of.groupBy("doc_id").agg(F.min("score").alias("score")).select("score"), "scores"), loss)
+        if least is not None:
+            threshold = least - MARGIN
     return slim.drop("kept").withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.lit(threshold)))
 
 

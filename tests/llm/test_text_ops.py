@@ -793,3 +793,20 @@ def test_quality(spark, docs, rows):
     assert sum(r["kept"] for r in got) >= 0.98 * sum(not r["base_failed"] and not (r["doc_id"] or 0) >= 1000 for r in got)
     assert all(r["kept"] != r["base_failed"] for r in op10_quality.quality(df, labels.limit(0)).collect())
     assert op10_quality.quality(empty(spark), labels).count() == 0
+
+
+def test_quality_trusts_every_label(spark, monkeypatch):
+    """More trusted documents than any sample held: counts and quantile take all of them."""
+    n = 20_500
+    df = spark.range(n).selectExpr("id doc_id", "concat_ws(' ', transform(sequence(1, 10), k -> concat('w', (id * 7 + k * k) % 97, if(id % 411 = 3, 'q', 'a')))) text")
+    labels = spark.range(n).selectExpr("cast(id as int) doc_id", "1 quality")
+    got = op10_quality.quality(df, labels).collect()
+    every, good = op10_quality.corpus_counts(df, labels.selectExpr("cast(doc_id as long) doc_id"))
+    assert every.sum() and (every == good).all()
+    assert {r["score"] for r in got} == {0.0} and all(r["kept"] for r in got)  # all are trusted: no n-gram tells them apart
+    monkeypatch.setattr(op10_quality, "HELD", 3)
+    rng = np.random.default_rng(1)
+    for values in ([0.5], [-1.0, 2.0], [0.25] * 50, rng.normal(size=301).round(2).tolist(), rng.normal(size=300).tolist()):
+        for share in (0.0, 0.002, 0.4, 1.0):
+            assert op10_quality.quantile(spark.createDataFrame([(v,) for v in values], "score double"), share) == pytest.approx(np.quantile(values, share), abs=1e-15)
+    assert op10_quality.quantile(spark.createDataFrame([], "score double"), 0.5) is None
